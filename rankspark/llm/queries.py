@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination
-from .common import table
+from . import decontamination, language_id, near_duplicates, toxicity
+from .common import remainder, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.predict(documents, language_id.learnt(documents))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.score(documents, toxicity.learnt(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link_documents(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
+    "op6_toxicity": op6_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
+}
 ORACLES: dict[str, str] = {}
