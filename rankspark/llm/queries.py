@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_duplicates, toxicity
+from . import decontamination, language_id, media, mixing, near_duplicates, personal_data, quality, sharding, token_output, toxicity
 from .common import remainder, table
 
 
@@ -25,14 +25,48 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.link_documents(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents")))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_output.read_tokens(token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer), with_ids=False).drop("ids")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_personal_data": op3_personal_data,
+    "op4_token_output": op4_token_output,
+    "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_mixing": op9_mixing,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}
