@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+for _folder in (Path(__file__).resolve().parents[1], Path(__file__).resolve().parent):
+    sys.path.insert(0, str(_folder))
 
 
 @pytest.fixture(scope="session")
