@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lexical, ranking  # noqa: F401
+from . import construction, lexical, ranking  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
