@@ -43,6 +43,13 @@ def buckets(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int32) if len(h) else np.zeros(0, np.int32)
 
 
+def inside_words(raw: np.ndarray, n: int) -> np.ndarray:
+    """Whether each run of n bytes has no space but at its ends."""
+    spaces = np.concatenate(([0], np.cumsum(raw == 0x20)))
+    k = len(raw) - n + 1
+    return spaces[n - 1 : n - 1 + k] == spaces[1 : 1 + k] if k > 0 else np.zeros(0, bool)
+
+
 @dataclass
 class Subwords:
     """A folded model: logits are scale * mean(table[buckets]) + bias."""
@@ -52,6 +59,9 @@ class Subwords:
     table: np.ndarray  # (orders, buckets, classes), float32
     bias: np.ndarray
     classes: list
+    within: bool = False  # only n-grams without a space inside
+    floor: int = 1  # bags with fewer n-grams are filled up to it
+    fill: np.ndarray | None = None  # the class scores of what they are filled up with; neutral without
 
     def sums(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Summed scores and numbers of n-grams of each span of the normalised bytes; offsets must ascend."""
@@ -61,16 +71,25 @@ class Subwords:
             ids = buckets(raw, n, self.bits)
             lo = np.minimum(offsets[:-1], len(ids))
             hi = np.maximum(np.minimum(offsets[1:] - n + 1, len(ids)), lo)
-            count += hi - lo
+            good = inside_words(raw, n) if self.within else None
+            count += hi - lo if good is None else _between(good, lo, hi)
             for c in range(n_class):
                 sums = np.zeros(len(ids) + 1)
-                np.cumsum(self.table[k, :, c][ids], out=sums[1:])
+                part = self.table[k, :, c][ids]
+                np.cumsum(part if good is None else part * good, out=sums[1:])
                 total[:, c] += sums[hi] - sums[lo]
         return total, count
 
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total, count = self.sums(raw, offsets)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        if self.fill is not None:
+            total = total + np.maximum(self.floor - count, 0)[:, None] * self.fill
+        return total / np.maximum(count, self.floor)[:, None] + self.bias
+
+
+def _between(flags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    return sums[hi] - sums[lo]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -78,9 +97,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: list, orders: tuple[int, ...], bits: int, dim: int = 8, epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 7, weights: np.ndarray | None = None, gain: float = 10.0) -> Subwords:
+def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: list, orders: tuple[int, ...], bits: int, dim: int = 8, epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 7, weights: np.ndarray | None = None, gain: float = 10.0, floor: int = 1, least: int = 1, decay: float = 0.0, within: bool = False) -> Subwords:
     """Minibatch descent with AdaGrad steps on embeddings and softmax together. `gain` multiplies the mean vector, which
-    lets rare telling n-grams matter early. Deterministic for the same rows in the same order."""
+    lets rare telling n-grams matter early; buckets that fewer than `least` of the texts have stay neutral. Deterministic for
+    the same rows in the same order."""
     rng = np.random.default_rng(seed)
     size, n_class = 1 << bits, len(classes)
     emb = rng.normal(0, 0.1, (len(orders) * size, dim)).astype(np.float32)
@@ -88,8 +108,17 @@ def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: lis
     bias = np.zeros(n_class, np.float32)
     g_emb, g_out, g_bias = np.full(len(emb), 1e-6, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
     each = [buckets(raw, n, bits) + np.int32(k * size) for k, n in enumerate(orders)]
+    good = [inside_words(raw, n) if within else np.ones(len(e), bool) for n, e in zip(orders, each, strict=True)]
     weights = np.ones(len(labels), np.float32) if weights is None else weights.astype(np.float32)
-    rows = np.flatnonzero(np.diff(offsets) >= min(orders))
+    rows = np.flatnonzero((np.diff(offsets) >= min(orders)) & (weights > 0))
+    known = np.ones(len(emb), bool)
+    if least > 1:
+        seen = np.zeros(len(emb), np.int32)
+        for t in rows.tolist():
+            for k, n in enumerate(orders):
+                seen[np.unique(each[k][offsets[t] : max(offsets[t], offsets[t + 1] - n + 1)])] += 1
+        known = seen >= least
+    emb[~known] = 0
     for _ in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, len(order), batch):
@@ -97,11 +126,13 @@ def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: lis
             parts, owner = [], []
             for j, t in enumerate(picked.tolist()):
                 for k, n in enumerate(orders):
-                    part = each[k][offsets[t] : max(offsets[t], offsets[t + 1] - n + 1)]
+                    span = slice(offsets[t], max(offsets[t], offsets[t + 1] - n + 1))
+                    part = each[k][span][good[k][span]]
                     parts.append(part)
                     owner.append(np.full(len(part), j, np.int32))
             ids, owner = np.concatenate(parts), np.concatenate(owner)
-            length = np.maximum(np.bincount(owner, minlength=len(picked)), 1).astype(np.float32)
+            length = np.maximum(np.bincount(owner, minlength=len(picked)), floor).astype(np.float32)
+            ids, owner = ids[known[ids]], owner[known[ids]]
             # bags as distinct (text, bucket) counts: repeated n-grams are gathered once
             pair, times = np.unique(owner.astype(np.int64) * len(emb) + ids, return_counts=True)
             who, what = (pair // len(emb)).astype(np.int32), (pair % len(emb)).astype(np.int64)
@@ -118,13 +149,13 @@ def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: lis
             touched, where = np.unique(what, return_inverse=True)
             d_emb = np.stack([np.bincount(where, d_each[:, d], len(touched)) for d in range(dim)], 1).astype(np.float32)
             g_emb[touched] += (d_emb**2).mean(1)
-            emb[touched] -= rate * d_emb / np.sqrt(g_emb[touched])[:, None]
+            emb[touched] -= rate * (d_emb / np.sqrt(g_emb[touched])[:, None] + decay * emb[touched])
             g_out += d_out**2
             g_bias += d_bias**2
             out -= rate * 0.2 * d_out / np.sqrt(g_out)
             bias -= rate * 0.2 * d_bias / np.sqrt(g_bias)
     table = (emb @ out * gain).reshape(len(orders), size, n_class)
-    return Subwords(orders, bits, np.ascontiguousarray(table), bias.astype(np.float64), list(classes))
+    return Subwords(orders, bits, np.ascontiguousarray(table), bias.astype(np.float64), list(classes), within, floor)
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:

@@ -1,12 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-Character n-grams are hashed, so an unseen misspelling shares vectors with the words it comes from. A text is cut into pieces
-of about `PIECE` bytes that cover all of it, and its score is the calibrated posterior of its most toxic piece: a short
-outburst in a long text is not averaged away. Training starts on whole texts and then, in `ROUNDS` rounds, on the piece of
-each toxic text that scores highest and on pieces of clean texts.
+Character n-grams within words are hashed, so an unseen misspelling shares vectors with the words it comes from. A text is
+judged by two margins of the model: that of all its n-grams, and the largest of its pieces of about `PIECE` bytes, which
+cover all of it, so a short outburst in a long text is not averaged away. Bags of fewer than `FLOOR` n-grams are filled up
+with the mean of clean texts. A logistic line maps both margins to a posterior; it is fitted on a quarter of the sampled texts that
+the model did not see, at a prior between the labels' own and an even one.
 
 Labels are learned from a bounded sample: about `PER_CLASS` rows of each label value, drawn by a hash of the id, with texts of
-at most `MOST_BYTES`. Defined results: null and empty texts get the posterior of an empty bag (the bias alone); without rows
+at most `MOST_BYTES`. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
 of both values every score is 0; a document labelled twice with both values is left out of training; other columns are not
 read.
 """
@@ -25,30 +26,31 @@ from pyspark.sql import types as T
 from .common import remainder, slices, small_batches, text_buffer
 from .subwords import Subwords, normalised, train
 
-PER_CLASS, MOST_BYTES, PIECE, ROUNDS = 3000, 20_000, 320, 2
-ORDERS, BITS = (3, 4, 5), 17
+PER_CLASS, MOST_BYTES, PIECE = 3000, 20_000, 320
+ORDERS, BITS, FLOOR, LEAST = (4, 6, 8), 18, 200, 6
 
 
 @dataclass
 class Judge:
-    """A folded model and the line that maps its best piece's margin to a posterior."""
+    """A folded model and the line that maps its margins to a posterior."""
 
     model: Subwords | None
-    slope: float = 1.0
+    slopes: tuple[float, float] = (0.5, 0.5)
     shift: float = 0.0
 
     def margins(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Of each text, the largest margin of its pieces."""
+        """Of each text, the margin of the whole and the largest of its pieces."""
         cuts, first = piece_offsets(begins, PIECE)
         logits = self.model.logits(raw, cuts)
-        each = logits[:, 1] - logits[:, 0]
-        return np.maximum.reduceat(each, first) if len(first) else np.zeros(0)
+        whole = self.model.logits(raw, begins)
+        best = np.maximum.reduceat(logits[:, 1] - logits[:, 0], first) if len(first) else np.zeros(0)
+        return np.stack([whole[:, 1] - whole[:, 0], best], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.model is None or not len(texts):
             return np.zeros(len(texts))
         raw, begins = normalised(*text_buffer(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(raw, begins) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(raw, begins) @ np.array(self.slopes) + self.shift, -40, 40)))
 
 
 def piece_offsets(begins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,69 +64,68 @@ def piece_offsets(begins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((starts, begins[-1:])), first[:-1]
 
 
-def sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, int, str]]:
-    """About per_class rows of each label value, the same at every run."""
+def sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, str]], float]:
+    """About per_class rows of each label value, the same at every run, and the share of 1 among all."""
     known = labels.where(F.col(label_col).isin(0, 1) & learn).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z and i is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return []
+        return [], 0.0
     draw = F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rate = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     # about 2 * per_class ids: a bounded side
     picked = F.broadcast(known.where(draw < rate).limit(4 * per_class))
     rows = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= MOST_BYTES)).join(picked, F.col("d") == F.col("i")).select("i", "y", "t").limit(8 * per_class)
-    return sorted((r["i"], r["y"], r["t"]) for r in rows.collect())
+    return sorted((r["i"], r["y"], r["t"]) for r in rows.collect()), counts[1] / (counts[0] + counts[1])
 
 
-def fit(rows: list[tuple[int, int, str]]) -> Judge:
-    """Joint training on whole texts, then on pieces; the posterior's line is fitted on the texts' best pieces."""
+def fit(rows: list[tuple[int, int, str]], share: float | None = None) -> Judge:
+    """Joint training on three quarters of the rows, the line on the rest. share: how many of all labelled rows are toxic."""
     if len({y for _, y, _ in rows}) < 2:
         return Judge(None)
     labels = np.array([y for _, y, _ in rows])
     encoded = [t.encode("utf-8", "replace") for _, _, t in rows]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int64)
     raw, begins = normalised(np.frombuffer(b"".join(encoded), np.uint8), offsets)
-    balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-    judge = Judge(train(raw, begins, labels, [0, 1], ORDERS, BITS, epochs=3, weights=balance, gain=30.0))
-    cuts, first = piece_offsets(begins, PIECE)
-    owner = np.searchsorted(first, np.arange(len(cuts) - 1), side="right") - 1
-    rng = np.random.default_rng(11)
-    for _ in range(ROUNDS):
-        logits = judge.model.logits(raw, cuts)
-        each = logits[:, 1] - logits[:, 0]
-        order = np.lexsort((each, owner))
-        best = order[np.concatenate((first[1:], [len(each)])) - 1]
-        others = np.flatnonzero((labels[owner] == 0) & (rng.random(len(owner)) < min(1.0, len(rows) / max(1, len(owner)))))
-        picked = np.unique(np.concatenate((best, others)))
-        chosen = np.zeros(len(each), np.float32)
-        own = labels[owner[picked]]
-        chosen[picked] = np.where(own == 1, 0.5 / max(own.mean(), 1e-6), 0.5 / max(1 - own.mean(), 1e-6))
-        judge = Judge(_train_on(raw, cuts, labels[owner], picked, chosen))
-    judge.slope, judge.shift = line(judge.margins(raw, begins), labels)
+    held = np.arange(len(rows)) % 4 == 3
+    if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
+        held = np.zeros(len(rows), bool)
+    balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) * ~held
+    least = max(1, min(LEAST, int((labels[~held] == 1).sum()) // 12))
+    judge = Judge(train(raw, begins, labels, [0, 1], ORDERS, BITS, epochs=5, rate=0.1, weights=balance, gain=30.0, floor=FLOOR, least=least, decay=0.002, within=True))
+    total, count = judge.model.sums(raw, begins)
+    clean = (labels == 0) & ~(held if held.any() else np.zeros(len(rows), bool))
+    judge.model.fill = total[clean].sum(0) / max(1.0, count[clean].sum())
+    used = held if held.any() else ~held
+    share = labels.mean() if share is None else share
+    odds = np.sqrt(max(1e-6, share) / max(1e-6, 1 - share))  # between the labels' odds and even ones
+    own = labels[used]
+    weights = np.where(own == 1, odds / max(own.sum(), 1), 1 / max((1 - own).sum(), 1))
+    judge.slopes, judge.shift = line(judge.margins(raw, begins)[used], own, weights * len(own) / weights.sum())
     return judge
 
 
-def _train_on(raw: np.ndarray, cuts: np.ndarray, labels: np.ndarray, picked: np.ndarray, weights: np.ndarray) -> Subwords:
-    """train() on some of the pieces."""
-    sizes = np.diff(cuts)[picked]
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    places = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + np.repeat(cuts[picked], sizes)
-    return train(raw[places], offsets, labels[picked], [0, 1], ORDERS, BITS, epochs=4, weights=weights[picked], gain=10.0)
-
-
-def line(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic regression on one variable, by Newton steps with a small ridge."""
-    mid, wide = margins.mean(), max(margins.std(), 1e-6)
-    x = np.stack([(margins - mid) / wide, np.ones(len(margins))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (labels - p) - 1e-3 * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    slope = max(w[0] / wide, 1e-6)
-    return float(slope), float(w[1] - slope * mid)
+def line(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Slopes, none negative, and shift of a weighted logistic regression, by Newton steps with a small ridge."""
+    best = None
+    for columns in ([0, 1], [0], [1]):
+        mid, wide = margins[:, columns].mean(0), np.maximum(margins[:, columns].std(0), 1e-6)
+        x = np.concatenate([(margins[:, columns] - mid) / wide, np.ones((len(margins), 1))], 1)
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + 0.01 * np.eye(len(w)), x.T @ (weights * (labels - p)) - 0.01 * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] < 0).any():
+            continue
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -(weights * np.where(labels == 1, np.log(p), np.log(1 - p))).mean()
+        if best is None or loss < best[0] - 1e-3:
+            slopes = np.zeros(2)
+            slopes[columns] = w[:-1] / wide
+            best = loss, tuple(slopes.tolist()), float(w[-1] - slopes[columns] @ mid)
+    return best[1:] if best else ((1.0, 0.0), 0.0)
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -146,4 +147,4 @@ def score(documents: DataFrame, judge: Judge, id_col: str = "doc_id", text_col:
 def learnt(documents: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Judge:
     """fit() on a sample of the labelled rows that `learn` (over the labels) admits; without it, those whose id's remainder by 5 is not 0."""
     learn = remainder(F.col(id_col), 5) != 0 if learn is None else learn
-    return fit(sample(documents, labels, F.coalesce(learn, F.lit(False)), per_class, id_col, text_col, label_col))
+    return fit(*sample(documents, labels, F.coalesce(learn, F.lit(False)), per_class, id_col, text_col, label_col))
