@@ -13,8 +13,8 @@ shared folder, so a lost executor's segments are written anew. Segments are numb
 per-part totals (one row a part reaches the driver) and running sums within a part.
 
 Encoding caches the ids of pieces: a text may be cut before each single space that a non-space follows, as no token spans such
-a place in byte-level pre-tokenisation. Texts that contain an added token are encoded in one go. The cache is bounded and
-only saves work.
+a place in byte-level pre-tokenisation, and a mark after a word is encoded apart from it. Texts that contain an added token
+are encoded in one go. The cache holds two generations of bounded size and only saves work.
 
 Defined results: null and empty texts give the end id alone; null ids come first; repeated ids are ordered by text; an empty
 table gives an empty table; other columns are not read.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,12 @@ from pyspark.sql import types as T
 
 from .common import slices, small_batches, staged
 
-BLOCK, SEGMENT_IDS, CACHE = 1 << 15, 1 << 18, 250_000
+BLOCK, SEGMENT_IDS, CACHE = 1 << 15, 1 << 18, 500_000
 MAGIC = b"RKPL"
 _HEAD = struct.Struct("<4sBBBxIIQI")
 _CUT = re.compile(r" (?=\S)")
+#: A word and one mark after it, which is a token of its own there.
+_MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?])")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -115,14 +118,18 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self.ids(m) for m in ".,;:!?"}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         cut, missing = [], {}
-        known = self.known
         for text in texts:
             if not text:
                 cut.append(())
@@ -137,12 +144,23 @@ class PieceEncoder:
                     if x not in known:
                         missing[x] = None
                 cut.append(rest)
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known = self.known = {x: known[x] for pieces in cut if pieces for x in pieces if x in known}
-            fresh = list(missing)
-            for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+        fresh, marked = {}, []
+        for x in missing:
+            if (ids := old.get(x)) is not None:
+                known[x] = ids
+            elif m := _MARKED.fullmatch(x):
+                marked.append((x, *m.groups()))
+                if m[1] not in known:
+                    if (ids := old.get(m[1])) is not None:
+                        known[m[1]] = ids
+                    else:
+                        fresh[m[1]] = None
+            else:
+                fresh[x] = None
+        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False), strict=True):
+            known[x] = array("I", e.ids).tobytes()
+        for x, word, mark in marked:
+            known[x] = known[word] + self.marks[mark]
         find = known.__getitem__
         return [self.ids(t) if pieces is None else b"".join(map(find, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
