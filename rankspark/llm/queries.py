@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language_id, media, mixing, near_duplicates, personal_data, quality, sharding, token_output, toxicity
 from .common import remainder, table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +72,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {}
