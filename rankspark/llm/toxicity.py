@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import remainder, slices, small_batches, text_buffer
 from .subwords import Subwords, normalised, train
 
-PER_CLASS, MOST_BYTES, PIECE = 3000, 20_000, 320
+PER_CLASS, MOST_BYTES, PIECE = 2000, 20_000, 320
 ORDERS, BITS, FLOOR, LEAST = (4, 6, 8), 18, 200, 6
 
 
