@@ -73,7 +73,7 @@ def rank_summary(ranks: DataFrame, value: str = "rank", by: list[str] | None = N
     """Mean, median, mean of ranks up to the 95th percentile, 90th, 99th, largest, and shares within each top."""
     keys = by or []
     cut = ranks.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.95)").alias("_p95"))
-    joined = ranks.join(F.broadcast(cut), keys) if keys else ranks.crossJoin(F.broadcast(cut))  # one row
+    joined = ranks.join(cut, keys) if keys else ranks.crossJoin(F.broadcast(cut))  # one row
     return joined.groupBy(*keys).agg(
         F.avg(value).alias("avg_rank"),
         F.expr(f"percentile({value}, 0.5)").alias("median_rank"),

@@ -51,7 +51,7 @@ def expand(tree: DataFrame, items: DataFrame, keep: Callable[[DataFrame], DataFr
     """Breadth-first tagging: items (item, path) start at the root; each level's children (item, path) pass `keep`, which
     scores and filters them, until none is left. Returns all kept (item, path). Levels are checkpointed."""
     frontier, kept = items, []
-    edges = F.broadcast(tree.where("parent_path is not null").select(F.col("path").alias("child"), F.col("parent_path").alias("path")))
+    edges = tree.where("parent_path is not null").select(F.col("path").alias("child"), F.col("parent_path").alias("path"))
     for _ in range(most):
         frontier = keep(frontier.join(edges, "path").select("item", F.col("child").alias("path"))).checkpoint()
         if not frontier.limit(1).count():
