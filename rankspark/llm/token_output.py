@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,8 @@ from .common import slices, small_batches, staged
 BLOCK, SEGMENT_IDS, CACHE = 1 << 15, 1 << 18, 500_000
 MAGIC = b"RKPL"
 _HEAD = struct.Struct("<4sBBBxIIQI")
-_CUT = re.compile(r" (?=\S)")
 #: A word and one mark after it, which is a token of its own there.
-_MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?])")
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?])")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -117,36 +117,39 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}  # of a piece with a space before it; None if a text must not be cut there
+        self.old: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {"": b""}  # of what comes before a text's first space
         self.marks = {m: self.ids(m) for m in ".,;:!?"}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        cut, missing = [], {}
+        if len(self.heads) > CACHE:
+            self.heads = {"": b""}
+        known, old, heads = self.known, self.old, self.heads
+        cut, missing, begun = [], {}, {}
         for text in texts:
-            if not text:
-                cut.append(())
-            elif any(a in text for a in self.added):
+            if not text or any(a in text for a in self.added):
                 cut.append(None)
-            else:
-                first, *rest = _CUT.split(text)
-                rest = [" " + x for x in rest]
-                if first:
-                    rest.insert(0, first)
-                for x in rest:
-                    if x not in known:
-                        missing[x] = None
-                cut.append(rest)
+                continue
+            first, *rest = text.split(" ")
+            missing.update(dict.fromkeys(filterfalse(known.__contains__, rest)))
+            if first not in heads:
+                begun[first] = None
+            cut.append((first, rest))
         fresh, marked = {}, []
         for x in missing:
-            if (ids := old.get(x)) is not None:
+            if not x or x[0].isspace():
+                known[x] = None
+            elif (ids := old.get(x)) is not None:
                 known[x] = ids
             elif m := _MARKED.fullmatch(x):
                 marked.append((x, *m.groups()))
@@ -157,12 +160,20 @@ class PieceEncoder:
                         fresh[m[1]] = None
             else:
                 fresh[x] = None
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False), strict=True):
-            known[x] = array("I", e.ids).tobytes()
+        known.update(zip(fresh, self.batch([" " + x for x in fresh]), strict=True))
+        heads.update(zip(begun, self.batch(list(begun)), strict=True))
         for x, word, mark in marked:
             known[x] = known[word] + self.marks[mark]
-        find = known.__getitem__
-        return [self.ids(t) if pieces is None else b"".join(map(find, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        find, out = known.__getitem__, []
+        for text, pieces in zip(texts, cut, strict=True):
+            if pieces is None:
+                out.append(self.ids(text) if text else b"")
+                continue
+            try:
+                out.append(heads[pieces[0]] + b"".join(map(find, pieces[1])))
+            except TypeError:  # two spaces, or a space before other white space
+                out.append(self.ids(text))
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
