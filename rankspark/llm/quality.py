@@ -55,7 +55,8 @@ def counts(documents: DataFrame, labels: DataFrame, bits: int = BITS, id_col: st
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["b", "n"])
 
     out = []
-    for rows in (slim.join(good, F.col("d") == F.col("i"), "left_semi"), slim):
+    # a sort-merge join at every size: the labels grow with the documents, so no side is broadcast
+    for rows in (slim.join(good.hint("merge"), F.col("d") == F.col("i"), "left_semi"), slim):
         table = np.zeros(1 << bits)
         for r in rows.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
             table[r["b"]] = r["n"]
