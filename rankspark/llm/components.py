@@ -1,18 +1,57 @@
-"""Connected components by minimum labels with pointer jumping, on written tables."""
+"""Connected components by minimum labels with pointer jumping, on written tables.
+
+Up to `FEW` links (their number is counted, so the bound holds) one task solves them in arrays of bounded size; beyond it
+rounds of joins do, with the same result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
+FEW = 2_000_000
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and, for each, the smallest node reachable."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    labels = np.arange(len(nodes))
+    while True:
+        low = np.minimum(labels[x], labels[y])
+        before = labels.copy()
+        for at in (labels[x], labels[y], x, y):
+            np.minimum.at(labels, at, low)
+        while (labels != labels[labels]).any():
+            labels = labels[labels]
+        if (labels == before).all():
+            return nodes, nodes[labels]
+
+
+def _at_once(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+        if parts:
+            nodes, labels = solve(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], names=["node", "label"])
+
+    return staged(links.coalesce(1).mapInArrow(run, "node long, label long"), "labels")
+
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 60, few: int = FEW) -> DataFrame:
     """links (a long, b long) to (node long, label long), label being the smallest node reachable. Nodes without links are not
     in it. Each round takes the smallest label around a node, then that label's own label, so paths shorten geometrically;
     rounds are written to the shared folder, and only a count of changes comes to the driver."""
-    both = staged(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    links = staged(links.where("a <> b").select("a", "b"), "links")
+    if links.count() <= few:
+        return _at_once(links)
+    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))

@@ -7,8 +7,10 @@ signatures are compared in batches of `BATCH`, and it is dropped as soon as the
 similarity reaches the threshold is under `MISS`. Survivors are confirmed on full shingle sets.
 
 A bucket of m documents doesn't give all pairs. First each member is paired with one leader of the bucket, another one in each
-band. Links found so give components; then only pairs of a bucket that lie in different components are compared, each in its
-first shared band only. Every pair that shares a band is thus either compared or already connected, without a cap.
+band. Links found so give components. Where a bucket still holds several, its documents' hashed sets meet in blocks of bounded
+size, which give one link for each two components that have one; links are confirmed on the full texts' sets. Families of
+very many blocks are compared pair by pair instead, each in its first shared band. Every pair that shares a band is thus
+compared or already connected, without a cap.
 
 At a similarity of 0.8 a pair shares none of the 24 bands of 4 rows with probability 3e-6.
 
@@ -34,6 +36,8 @@ from .components import connected_components
 
 BANDS, ROWS, BATCH = 24, 4, 32
 HASHES = 128
+#: Shingles in a block of a family, and the blocks up to which all of a family's blocks meet.
+BLOCK_SHINGLES, MOST_BLOCKS = 1 << 16, 256
 MISS = 1e-6
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WORDS = bytes(32 if not SOLID[c] else int(LOWER[c]) for c in range(256))
@@ -164,6 +168,61 @@ def _links(pairs: DataFrame, reps: DataFrame, documents: DataFrame, shingle: int
     return staged(confirmed(close, texts, shingle, percent), "confirmed")
 
 
+_HELD = T.StructType([T.StructField("rep", T.LongType()), T.StructField("size", T.LongType()), T.StructField("set", T.BinaryType())])
+
+
+def _hashed_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Of each text (id, text): rep, size and set, its sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                values, offsets = text_buffer(part.column("text"))
+                raw = LOWER[values]
+                starts, ends, firsts = word_spans(raw, offsets, SOLID)
+                words = word_hashes(raw, starts, ends)
+                each = windows(words, shingle)
+                sets = [np.unique(each[lo : hi - shingle + 1]) if hi - lo >= shingle else np.zeros(0, np.uint64) for lo, hi in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=_HELD.names)
+
+    return texts.mapInArrow(run, _HELD)
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products over chunks of the shared elements."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = [[np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in side] for side in (left, right)]
+    for lo in range(0, len(shared), 4096):
+        hi = min(lo + 4096, len(shared))
+        a, b = (np.zeros((len(side), hi - lo), np.float32) for side in places)
+        for grid, side in ((a, places[0]), (b, places[1])):
+            for i, x in enumerate(side):
+                grid[i, x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] - lo] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """The rows (rep, group, own block, set) of two blocks to links between different groups, one for each two groups."""
+    block, groups, reps = (rows.column(c).to_numpy() for c in ("block", "group", "rep"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+    lo, hi = block.min(), block.max()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+    sizes = np.array([len(x) for x in sets])
+    near = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    near &= (both > 0) & (groups[left][:, None] != groups[right][None, :])
+    i, j = np.nonzero(near)
+    x, y = left[i], right[j]
+    pairs = np.stack([np.minimum(groups[x], groups[y]), np.maximum(groups[x], groups[y])], 1)
+    _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, int))
+    x, y = x[first], y[first]
+    return pa.table({"a": np.minimum(reps[x], reps[y]), "b": np.maximum(reps[x], reps[y])})
+
+
 def link_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -173,27 +232,44 @@ def link_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, id
     owners = classes.where("rep is not null")
     reps = staged(full.join(owners, (full["doc_id"] == owners["rep"]) & (full["digest"] == owners["digest"])).select("rep", "sig", "keys").dropDuplicates(["rep"]), "reps")
     banded = reps.select("rep", F.explode("keys").alias("key"))
-    leaders = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("leader"))).alias("least")).where("n > 1").select("key", "n", F.col("least.leader").alias("leader"))
-    leaders = staged(leaders, "leaders")
-    first = banded.join(leaders.select("key", "leader"), "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    first = staged(first, "pairs")
-    links = _links(first, reps, source, shingle, percent)
-    groups = connected_components(links)
-
-    # what shares a bucket of three or more and is not yet connected; a bucket of two has been compared
-    crowded = leaders.where("n > 2").select("key")
-    members = reps.select("rep", "keys", F.posexplode("keys").alias("band", "key")).join(crowded, "key")
-    members = members.join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "keys", F.coalesce("label", "rep").alias("group"))
-    members = staged(members, "members")
-    split = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    split = staged(members.join(split, "key", "left_semi"), "split")
-    x, y = split.alias("x"), split.alias("y")
-    earlier = F.exists(F.arrays_zip(F.slice("x.keys", 1, F.col("x.band")).alias("p"), F.slice("y.keys", 1, F.col("y.band")).alias("q")), lambda z: z["p"] == z["q"])
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & ~earlier).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = _links(rest, reps, source, shingle, percent)
-        groups = connected_components(groups.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    leaders = staged(_leaders(banded).where("size > 1"), "leaders")
+    first = banded.join(leaders, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    done = staged(first, "pairs")
+    groups = connected_components(_links(done, reps, source, shingle, percent))
+
+    # What shares a bucket of three or more and is not yet connected; a bucket of two has been compared. Documents that such
+    # buckets chain together are a family, whose sets meet block by block.
+    crowded = leaders.where("size > 2").select("key")
+    members = staged(reps.select("rep", F.posexplode("keys").alias("band", "key")).join(crowded, "key"), "members")
+    split = staged(_split(members, groups), "split")
+    if split.limit(1).count():
+        heads = split.groupBy("key").agg(F.min("rep").alias("head"))
+        chained = connected_components(split.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
+        suspects = split.select("rep", "group").distinct()
+        texts = staged(source.join(suspects.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "suspects")
+        sets = staged(_hashed_sets(texts, shingle), "sets")
+        totals = sets.join(chained, F.col("rep") == F.col("node")).groupBy(F.col("label").alias("family")).agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        placed = chained.join(totals, F.col("label") == F.col("family")).select(F.col("node").alias("rep"), "family", "blocks").join(suspects, "rep")
+        placed = staged(placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
+
+        meeting = placed.where(F.col("blocks") <= MOST_BLOCKS).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        meeting = meeting.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "group", "rep", "set")
+
+        def meet(rows: pa.Table) -> pa.Table:
+            return _block_links(rows, percent)
+
+        found = staged(meeting.groupBy("family", "i", "j").applyInArrow(meet, "a long, b long"), "found")
+        more = staged(confirmed(found, texts, shingle, percent), "confirmed")
+
+        # families of very many blocks: pairs of a bucket, each in its first shared band only
+        large = split.join(placed.where(F.col("blocks") > MOST_BLOCKS).select("rep").distinct(), "rep", "left_semi").join(reps.select("rep", "keys"), "rep")
+        x, y = large.alias("x"), large.alias("y")
+        earlier = F.exists(F.arrays_zip(F.slice("x.keys", 1, F.col("x.band")).alias("p"), F.slice("y.keys", 1, F.col("y.band")).alias("q")), lambda z: z["p"] == z["q"])
+        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & ~earlier)
+        rest = staged(rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).join(done, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            more = more.union(_links(rest, reps, source, shingle, percent))
+        groups = connected_components(_stars(groups).union(more))
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("component"))
     slim = drawn.select("doc_id", "n_shingles", "digest")
@@ -201,6 +277,23 @@ def link_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, id
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
 
+def _leaders(banded: DataFrame) -> DataFrame:
+    """(key, size, leader) of each bucket of (rep, key) rows, the leader drawn by a hash."""
+    draw = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("leader")))
+    return banded.groupBy("key").agg(F.count("*").alias("size"), draw.alias("least")).select("key", "size", F.col("least.leader").alias("leader"))
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    return groups.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
+def _split(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members with their group, of the buckets that hold more than one."""
+    placed = members.join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("label", "rep")).drop("node", "label")
+    apart = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(apart, "key", "left_semi")
+
+
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates of one of smaller id, in their own columns."""
     gone = link_documents(documents, shingle, percent, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
