@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def _links(pairs: DataFrame, reps: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     close = staged(likely(pairs, reps, percent / 100), "likely")
     wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    texts = staged(documents.join(wanted, documents["id"] == wanted["id"], "left_semi").dropDuplicates(["id"]), "texts")
+    texts = staged(documents.join(wanted.hint("merge"), documents["id"] == wanted["id"], "left_semi").dropDuplicates(["id"]), "texts")
     return staged(confirmed(close, texts, shingle, percent), "confirmed")
 
 
@@ -233,20 +233,20 @@ def link_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, id
     reps = staged(full.join(owners, (full["doc_id"] == owners["rep"]) & (full["digest"] == owners["digest"])).select("rep", "sig", "keys").dropDuplicates(["rep"]), "reps")
     banded = reps.select("rep", F.explode("keys").alias("key"))
     leaders = staged(_leaders(banded).where("size > 1"), "leaders")
-    first = banded.join(leaders, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    first = banded.join(leaders.hint("merge"), "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     done = staged(first, "pairs")
     groups = connected_components(_links(done, reps, source, shingle, percent))
 
     # What shares a bucket of three or more and is not yet connected; a bucket of two has been compared. Documents that such
     # buckets chain together are a family, whose sets meet block by block.
     crowded = leaders.where("size > 2").select("key")
-    members = staged(reps.select("rep", F.posexplode("keys").alias("band", "key")).join(crowded, "key"), "members")
+    members = staged(reps.select("rep", F.posexplode("keys").alias("band", "key")).join(crowded.hint("merge"), "key"), "members")
     split = staged(_split(members, groups), "split")
     if split.limit(1).count():
         heads = split.groupBy("key").agg(F.min("rep").alias("head"))
         chained = connected_components(split.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
         suspects = split.select("rep", "group").distinct()
-        texts = staged(source.join(suspects.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "suspects")
+        texts = staged(source.join(suspects.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "suspects")
         sets = staged(_hashed_sets(texts, shingle), "sets")
         totals = sets.join(chained, F.col("rep") == F.col("node")).groupBy(F.col("label").alias("family")).agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
         placed = chained.join(totals, F.col("label") == F.col("family")).select(F.col("node").alias("rep"), "family", "blocks").join(suspects, "rep")
@@ -297,4 +297,4 @@ def _split(members: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates of one of smaller id, in their own columns."""
     gone = link_documents(documents, shingle, percent, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return documents.join(gone, id_col, "left_anti").select(*documents.columns)
+    return documents.join(gone.hint("merge"), id_col, "left_anti").select(*documents.columns)
