@@ -2,8 +2,12 @@
 
 Training rows are a bounded sample: about `PER_LANGUAGE` rows of each of the `MOST_LANGUAGES` most frequent languages,
 drawn by a hash of the id, with texts of at most `MOST_BYTES`. Whole texts are cut into pieces of `PIECE` bytes, so short
-texts are learned too. A fifth of the sampled rows sets the temperature and the rejection bound: the posterior below which
-only `MISS` of the pieces of known language fall, never above `MOST_BOUND`.
+texts are learned too. A fifth of the sampled rows is held and sets the temperature and the rejection bound.
+
+A text is rejected for its novelty, the share of its n-grams of `NOVEL` bytes that the learned rows lack; unlike a posterior
+it says the same for any number of languages. The bound lies `STRICT` of the way from what the share `MOST` of the held pieces
+keeps under to the median of the same pieces with their letters shuffled, so a few foreign pieces among the held ones do not
+move it. `WEIGHT` n-grams of usual novelty are added to every text: some ten letters alone cannot reject one.
 
 Every text is scored over its whole length. Defined results: a null text or one without a letter is `und` with score 0 and
 not accepted; with no training row every text is `und`; ties go to the first language by code point; repeated rows get equal
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder, slices, small_batches, text_buffer
-from .subwords import Subwords, normalised, softmax, temperature, train
+from .subwords import Subwords, buckets, normalised, softmax, temperature, train
 
 PER_LANGUAGE, MOST_LANGUAGES, MOST_BYTES, PIECE = 300, 512, 20_000, 400
-MISS, MOST_BOUND = 0.0005, 0.4
+NOVEL, WEIGHT, MOST, STRICT = 4, 20, 0.95, 1 / 3
 ORDERS, BITS = (2, 3, 4), 15
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -57,8 +62,46 @@ def pieces(texts: list[str], most: int = PIECE) -> tuple[np.ndarray, np.ndarray,
     return raw, np.concatenate(cuts), np.concatenate(owner) if owner else np.zeros(0, np.int64)
 
 
-def fit(rows: list[tuple[int, str, str]]) -> tuple[Subwords, float, float] | None:
-    """The model, its temperature and the rejection bound; None without rows."""
+@dataclass
+class Known:
+    """The n-grams of the learned pieces, as bits by hash; usual novelty and the bound above which a text is rejected."""
+
+    table: np.ndarray
+    bits: int
+    usual: float = 0.0
+    bound: float = 1.0
+
+    def novelty(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The share of unknown n-grams of each span of the normalised bytes; offsets must ascend."""
+        ids = buckets(raw, NOVEL, self.bits)
+        sums = np.concatenate(([0], np.cumsum((self.table[ids >> 3] >> (ids & 7).astype(np.uint8)) & 1 == 0)))
+        lo = np.minimum(offsets[:-1], len(ids))
+        hi = np.maximum(np.minimum(offsets[1:] - NOVEL + 1, len(ids)), lo)
+        return (sums[hi] - sums[lo] + WEIGHT * self.usual) / (hi - lo + WEIGHT)
+
+
+def known(raw: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> Known:
+    """The n-grams of the pieces that are not held, or of all if all are, and the bound that the held ones give."""
+    bits = min(27, max(18, (4 * len(raw)).bit_length()))
+    piece = np.repeat(np.arange(len(held)), np.diff(offsets))
+    ids = buckets(raw, NOVEL, bits)
+    inside = piece[: len(ids)] == piece[NOVEL - 1 :]
+    seen = np.zeros(1 << bits, bool)
+    seen[ids[inside & ~(held & ~held.all())[piece[: len(ids)]]]] = True
+    found = Known(np.packbits(seen, bitorder="little"), bits)
+    found.usual = float(np.median(found.novelty(raw, offsets)[held]))
+    letters, rng = raw.copy(), np.random.default_rng(7)
+    for a, b in zip(offsets[:-1][held], offsets[1:][held], strict=True):
+        at = a + np.flatnonzero(raw[a:b] != 0x20)
+        letters[at] = rng.permutation(raw[at])
+    own, mixed = found.novelty(raw, offsets)[held], found.novelty(letters, offsets)[held]
+    most = float(np.quantile(own, MOST))
+    found.bound = most + STRICT * max(0.0, float(np.median(mixed)) - most)
+    return found
+
+
+def fit(rows: list[tuple[int, str, str]]) -> tuple[Subwords, float, Known] | None:
+    """The model, its temperature and what it knows; None without rows."""
     if not rows:
         return None
     classes = sorted({lang for _, lang, _ in rows})
@@ -70,33 +113,32 @@ def fit(rows: list[tuple[int, str, str]]) -> tuple[Subwords, float, float] | Non
     model = train(raw, offsets, labels, classes, ORDERS, BITS, weights=(owner % 5 != 4) if (owner % 5 != 4).any() else None)
     logits = model.logits(raw, offsets)[held]
     heat = temperature(logits, labels[held])
-    own = softmax(logits / heat)[np.arange(int(held.sum())), labels[held]]
-    return model, heat, float(min(np.quantile(own, MISS), MOST_BOUND))
+    return model, heat, known(raw, offsets, held)
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
 
-def judge(texts: pa.Array, model: Subwords | None, heat: float, bound: float) -> tuple[list, np.ndarray, np.ndarray]:
+def judge(texts: pa.Array, model: Subwords | None, heat: float, known: Known | None) -> tuple[list, np.ndarray, np.ndarray]:
     """Predicted language, calibrated posterior and acceptance of each text."""
     n = len(texts)
     best, score, good = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
-    if model is None:
+    if model is None or known is None:
         return best, score, good
     raw, begins = normalised(*text_buffer(texts))
     chance = softmax(model.logits(raw, begins) / heat)
     top = chance.argmax(1)
+    usual = known.novelty(raw, begins) <= known.bound
     for i, t in enumerate(texts.to_pylist()):
         if t and _LETTER.search(t):
-            best[i], score[i] = model.classes[top[i]], chance[i, top[i]]
-    score = np.minimum(score, 1.0)
-    return best, score, score > bound
+            best[i], score[i], good[i] = model.classes[top[i]], chance[i, top[i]], usual[i]
+    return best, np.minimum(score, 1.0), good
 
 
-def predict(documents: DataFrame, fitted: tuple[Subwords, float, float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(documents: DataFrame, fitted: tuple[Subwords, float, Known] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score and accepted."""
     small_batches(documents.sparkSession)
-    held = documents.sparkSession.sparkContext.broadcast(fitted or (None, 1.0, 0.0))
+    held = documents.sparkSession.sparkContext.broadcast(fitted or (None, 1.0, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +149,10 @@ def predict(documents: DataFrame, fitted: tuple[Subwords, float, float] | None,
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FOUND)
 
 
-def keep_accepted(documents: DataFrame, fitted: tuple[Subwords, float, float] | None, text_col: str = "text") -> DataFrame:
+def keep_accepted(documents: DataFrame, fitted: tuple[Subwords, float, Known] | None, text_col: str = "text") -> DataFrame:
     """The documents whose language is accepted, in their own columns."""
     small_batches(documents.sparkSession)
-    held = documents.sparkSession.sparkContext.broadcast(fitted or (None, 1.0, 0.0))
+    held = documents.sparkSession.sparkContext.broadcast(fitted or (None, 1.0, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +162,7 @@ def keep_accepted(documents: DataFrame, fitted: tuple[Subwords, float, float] |
     return documents.mapInArrow(run, documents.schema)
 
 
-def learnt(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[Subwords, float, float] | None:
+def learnt(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[Subwords, float, Known] | None:
     """fit() on a sample of the rows that `learn` admits; without it, those whose id's remainder by 4 is not 2."""
     learn = remainder(F.col(id_col), 4) != 2 if learn is None else learn
     return fit(sample(documents, F.coalesce(learn, F.lit(False)), id_col, text_col, lang_col, per_language))

@@ -47,6 +47,25 @@ def test_language_without_rows(spark):
     assert language_id.predict(docs.limit(0), None).collect() == []
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rnd = random.Random(3)
+    words = {"en": EN, "de": DE, "fr": "le la les des une dans pour que qui sur avec plus pas sont cette comme mais nous leur être".split(), "es": "el los las una del por para con que como más pero sus este cuando muy sin sobre también hasta".split()}
+    odd = {200_000 + n: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(n)) for n in range(8, 60)}
+    odd |= {300_000 + n: " ".join(rnd.choices("wszyscy ludzie rodzą się wolni równi pod względem swej godności swych praw obdarzeni rozumem sumieniem powinni postępować".split(), k=n)) for n in range(8, 60)}
+    odd[400_000] = "for (int i = 0; i < n; ++i) { buf[i] = queue.front(); queue.pop_front(); } return static_cast<size_t>(n);"
+    for k in (1, 2, 4):
+        known = list(words)[:k]
+        rows = [(i, sentences(rnd, words[known[i % k]], rnd.randint(8, 60)), known[i % k]) for i in range(200 * k)]
+        rows += [(5000 + i, "qxj zvkq wjx pqz " * 5, known[0]) for i in range(2)]  # foreign text under a known label
+        short = [(100_000 + i, sentences(rnd, words[known[i % k]], 1 + i % 6), None) for i in range(100)]
+        docs = spark.createDataFrame(rows + short + [(i, t, None) for i, t in odd.items()], "doc_id long, text string, lang string")
+        fitted = language_id.learnt(docs)
+        got = {r.doc_id: r.accepted for r in language_id.predict(docs, fitted).collect()}
+        assert not [odd[i] for i in odd if got[i]], k
+        assert not [t for i, t, _ in rows + short if not got[i] and i // 1000 != 5], k
+        assert {r.doc_id for r in language_id.keep_accepted(docs, fitted).collect()} == {i for i in got if got[i]}
+
+
 def test_toxicity_finds_misspellings_in_long_texts(spark):
     rnd = random.Random(4)
     bad = ["stinkhead", "blockwit", "nastyface"]
