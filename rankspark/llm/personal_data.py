@@ -3,7 +3,8 @@
 Candidates are the matches of the base patterns and of wider ones. Labelers vote on each: pattern and checksum, a gazetteer
 (top-level domains, card prefixes, calling codes, reserved networks), context words to its left, and its neighbours (a piece
 of a longer token is no personal data). Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliabilities and the prior of each kind; the posteriors train a logistic span classifier on the candidates' features. Base
+reliabilities and the prior of each kind, under priors whose weight grows with the counts, so that a vote says the same on
+tables of any size; the posteriors train a logistic span classifier on the candidates' features. Base
 spans always stay; wider candidates that the classifier accepts and that overlap no base span are added.
 
 Positions are code points, end exclusive. A match is put between two marks (0x01; one in the text becomes 0x02 first, which no
@@ -51,6 +52,8 @@ WORDS = {
     "phone": r"(?i)\b(?:phone|call|tel|mobile|cell|fax|telefon|anruf|appel|llame)\b",
 }
 VOTERS = ("form", "gazetteer", "context", "neighbours")
+#: P(vote 1 | is one) and P(vote 1 | is none) of each labeler before any count, and the prior's share of its votes.
+RELIABLE, HELD = ((0.8, 0.4), (0.7, 0.4), (0.4, 0.1), (0.98, 0.4)), 0.1
 
 
 def _digits(text: Column) -> Column:
@@ -139,15 +142,20 @@ def voted(kind: str, base: bool, x: Column) -> list[Column]:
     m, left = x["m"], F.coalesce(x["l"], F.lit(""))
     d = _digits(m)
     tail = F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1))
-    form = {"email": F.lit(1 if base else -1), "ip": F.lit(1 if base else -1), "card": F.when(luhn(d), 1).otherwise(0), "phone": F.lit(1) if base else F.when(d.rlike("^[2-9]"), 1).otherwise(-1)}[kind]
+    form = {
+        "email": F.when(m.rlike(r"^[.]|[.]@|[.]{2}"), 0).otherwise(1) if base else F.when(m.rlike(r"[(\[]"), 1).otherwise(-1),
+        "ip": F.when(m.rlike(r"(?:^|[.])0[0-9]"), 0).otherwise(1) if base else F.when(m.rlike("[A-Fa-f]"), 1).otherwise(0),
+        "card": F.when(luhn(d), 1).otherwise(0),
+        "phone": F.when(d.rlike("^[1-9]"), 1).otherwise(0) if base else F.when(d.rlike("^[2-9]"), 1).otherwise(0),
+    }[kind]
     known = {
-        "email": F.when(tail.isin(*DOMAINS), 1).otherwise(-1),
-        "ip": F.when(m.rlike(r"^(?:0|127|2[2-5][0-9])\."), 0).otherwise(F.lit(1 if base else -1)),
-        "card": F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(-1),
-        "phone": F.when(m.rlike(r"^\+?(?:1|3[0-9]|4[0-9]|\()"), 1).otherwise(-1),
+        "email": F.when(tail.isin(*DOMAINS), 1).otherwise(0),
+        "ip": F.when(m.rlike(r"^(?:0|127|2[2-5][0-9])\."), 0).otherwise(1) if base else F.when(m.rlike("^[23][0-9A-Fa-f]{3}:"), 1).otherwise(0),
+        "card": F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0),
+        "phone": F.when(m.rlike(r"^\+?(?:1|3[0-9]|4[0-9]|\()"), 1).otherwise(0 if base else -1),
     }[kind]
-    context = F.when(left.rlike(WORDS[kind]), 1).otherwise(-1)
-    beside = F.when(F.concat(F.substring(left, -1, 1), F.coalesce(x["r"], F.lit(""))).rlike(r"[\p{L}0-9_=/#]"), 0).otherwise(-1)
+    context = F.when(left.rlike(WORDS[kind]), 1).otherwise(0)
+    beside = F.when(F.concat(F.substring(left, -1, 1), F.coalesce(x["r"], F.lit(""))).rlike(r"[\p{L}0-9_=/#]"), 0).otherwise(1)
     return [c.cast("int") for c in (form, known, context, beside)]
 
 
@@ -164,12 +172,13 @@ def judged(x: Column, kind: str, base: bool) -> Column:
 
 def estimate(counts: list[tuple[str, tuple, int]], rounds: int = 50) -> dict[tuple[str, tuple], float]:
     """Expectation-maximisation over (kind, votes, count): the posterior of each (kind, votes). A labeler's two reliabilities
-    are shared by all kinds, a kind's prior is its own; both have weak priors, under which labelers are better than chance."""
+    are shared by all kinds, a kind's prior is its own. Both are held to `RELIABLE` and to a half by `HELD` of their counts and
+ten more: a labeler that says one thing only keeps telling the classes apart, and no prior climbs to 1."""
     if not counts:
         return {}
     n = len(counts[0][1])
     prior = dict.fromkeys({k for k, _, _ in counts}, 0.5)
-    hit, miss = [0.8] * n, [0.2] * n  # P(vote 1 | voted, is one), P(vote 1 | voted, is none)
+    hit, miss = [list(x) for x in zip(*RELIABLE[:n], strict=True)]  # P(vote 1 | voted, is one), P(vote 1 | voted, is none)
     post: dict[tuple[str, tuple], float] = {}
     for _ in range(rounds):
         for kind, votes, _ in counts:
@@ -181,28 +190,35 @@ def estimate(counts: list[tuple[str, tuple, int]], rounds: int = 50) -> dict[tup
             post[kind, votes] = 1 / (1 + math.exp(min(50.0, max(-50.0, b - a))))
         for kind in prior:
             own = [(post[k, v], c) for k, v, c in counts if k == kind]
-            prior[kind] = (sum(p * c for p, c in own) + 1) / (sum(c for _, c in own) + 2)
+            total = sum(c for _, c in own)
+            held = 2 + HELD * total
+            prior[kind] = (sum(p * c for p, c in own) + held / 2) / (total + held)
         for j in range(n):
             yes = [(post[k, v] * c, v[j]) for k, v, c in counts if v[j] >= 0]
             no = [((1 - post[k, v]) * c, v[j]) for k, v, c in counts if v[j] >= 0]
-            hit[j] = (sum(w for w, v in yes if v) + 8) / (sum(w for w, _ in yes) + 10)
-            miss[j] = (sum(w for w, v in no if v) + 2) / (sum(w for w, _ in no) + 10)
+            held = 10 + HELD * (sum(w for w, _ in yes) + sum(w for w, _ in no))
+            hit[j] = (sum(w for w, v in yes if v) + held * RELIABLE[j][0]) / (sum(w for w, _ in yes) + held)
+            miss[j] = (sum(w for w, v in no if v) + held * RELIABLE[j][1]) / (sum(w for w, _ in no) + held)
     return post
 
 
 def classifier(rows: list[tuple[tuple, float, int]], steps: int = 300) -> dict[tuple, float]:
-    """Logistic regression on one-hot (position, value) features: rows of (features, posterior, count) to weights."""
+    """Logistic regression on one-hot (position, value) features: rows of (features, posterior, count) to weights. Each
+    feature's step is over its own rows, so rare ones are learnt as well as frequent ones."""
     weights: dict[tuple, float] = {}
-    total = sum(c for _, _, c in rows)
-    for step in range(steps):
+    share: dict[tuple, int] = {}
+    for f, _, c in rows:
+        for x in enumerate(f):
+            share[x] = share.get(x, 0) + c
+    for _ in range(steps):
         grad: dict[tuple, float] = {}
         for f, p, c in rows:
             z = sum(weights.get(x, 0.0) for x in enumerate(f))
-            g = (1 / (1 + math.exp(min(50.0, max(-50.0, -z)))) - p) * c / total
+            g = (1 / (1 + math.exp(min(50.0, max(-50.0, -z)))) - p) * c
             for x in enumerate(f):
                 grad[x] = grad.get(x, 0.0) + g
         for x, g in grad.items():
-            weights[x] = weights.get(x, 0.0) * 0.9999 - 4.0 / (1 + step / 100) * g
+            weights[x] = weights.get(x, 0.0) * 0.9999 - 6.0 / len(rows[0][0]) * g / share[x]
     return weights
 
 

@@ -72,3 +72,20 @@ def test_empty(spark):
 def test_em_tells_good_labelers():
     post = P.estimate([("email", (1, 1, 1, -1), 50), ("email", (0, -1, -1, 0), 50)])
     assert post["email", (1, 1, 1, -1)] > 0.9 > 0.1 > post["email", (0, -1, -1, 0)]
+
+
+def test_pieces_of_longer_tokens_are_refused_on_large_tables(spark):
+    for n in (100, 10_000):
+        rows = [(i, f"please call our phone (212) 555-{1000 + i % 9000} today" if i % 2 else f"mail a{i}@b.com or call +1 (212) 555-{1000 + i % 9000} now") for i in range(n)]
+        rows += [(20_000 + i, f"the token x212-555-{1000 + i}y and ref=312-555-{1000 + i} are no numbers") for i in range(12)]
+        rows += [(30_000 + i, f"key/2001:0db8:0000:0000:0000:ff00:0042:{8000 + i} and zé.jo{i} (at) site.org#7") for i in range(12)]
+        rows += [(40_000 + i, f"our host is 2001:0db8:0000:0000:0000:ff00:0042:{8000 + i} or write to jo{i} (at) site.org") for i in range(12)]
+        got = {r.doc_id: r.spans for r in P.digest(P.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+        assert all(got[i] == "" for i in got if 20_000 <= i < 40_000), n
+        assert all("phone:" in got[i] for i in range(n)) and all("ip:" in got[i] and "email:" in got[i] for i in got if i >= 40_000), n
+
+
+def test_a_vote_says_the_same_at_any_number_of_candidates():
+    for n in (100, 10_000, 1_000_000):
+        post = P.estimate([("phone", (1, -1, 0, 1), n), ("phone", (1, -1, 0, 0), n // 10), ("phone", (1, -1, 1, 1), n)])
+        assert post["phone", (1, -1, 0, 0)] < 0.3 < 0.7 < post["phone", (1, -1, 0, 1)]
