@@ -11,8 +11,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import text as X
 from .functions.portable import portable_hash
@@ -81,10 +83,27 @@ def pointwise(score_texts: Callable[[list[str], list[str]], list[float]]) -> Sco
     return lambda pairs: pairs.withColumn("score", call("query_text", "doc_text"))
 
 
+def whole_lists(get_scores: Callable[[str, list[str]], list[float] | None]) -> Scorer:
+    """A user function of a query's text and its whole candidate list in order, called once a query; None gives null scores."""
+
+    def score(pairs: DataFrame) -> DataFrame:
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("pos")
+            found = get_scores(rows.column("query_text")[0].as_py(), rows.column("doc_text").to_pylist())
+            if found is not None and len(found) != rows.num_rows:
+                raise ValueError(f"get_scores gave {len(found)} scores for {rows.num_rows} documents")
+            each = [None] * rows.num_rows if found is None else [None if s is None else float(s) for s in found]
+            return rows.append_column("score", pa.array(each, pa.float64()))
+
+        return pairs.groupBy("query").applyInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+    return score
+
+
 def adapt(model: object) -> Scorer:
     """Anything with encode(texts) or get_scores(query, documents) is a scorer; other objects are refused."""
     if callable(getattr(model, "get_scores", None)):
-        return pointwise(lambda qs, ds: [model.get_scores(q, [d])[0] for q, d in zip(qs, ds, strict=True)])
+        return whole_lists(model.get_scores)
     if callable(getattr(model, "encode", None)):
         return embedding(model.encode)
     if callable(model):

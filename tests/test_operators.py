@@ -159,6 +159,30 @@ def test_evaluate(spark):
         scorers.make_scorer("nothing")
 
 
+def test_user_scores_see_the_whole_list(spark):
+    queries = spark.createDataFrame([(0, "red fox", "s", ["x"], [2, 0, 1], [1.0, 5.0, 0.0]), (1, "none", "s", ["x"], [2, 1], [0.0, 3.0])], "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>")
+    docs = spark.createDataFrame([(0, "red fox runs", "a"), (1, "blue sky", "b"), (2, "green tea", "c")], "row_idx long, problem string, solution string")
+
+    class Model:
+        def get_scores(self, query, documents):
+            if "none" in query:
+                return None
+            return [100.0 * len(documents) + 10 * i + ("red" in d) for i, d in enumerate(documents)]
+
+    pairs = evaluation.judged_pairs(queries, docs, "statement-statement").repartition(7)
+    got = {(r["query"], r.pos): (r.doc, r.score) for r in scorers.make_scorer(Model())(pairs).collect()}
+    assert got == {(0, 0): (2, 300.0), (0, 1): (0, 311.0), (0, 2): (1, 320.0), (1, 0): (2, None), (1, 1): (1, None)}
+    each = {r["query"]: r.ndcg for r in evaluation.per_query(queries, docs, Model(), ["statement-statement"]).collect()}
+    assert each[1] is None and 0 < each[0] < 1
+
+    class Short:
+        def get_scores(self, query, documents):
+            return [1.0]
+
+    with pytest.raises(Exception, match="1 scores for"):
+        scorers.make_scorer(Short())(pairs).collect()
+
+
 def test_listwise(spark):
     pairs = spark.createDataFrame([(0, i) for i in range(45)], "query int, pos int")
     groups = scorers.listwise_groups(pairs)
