@@ -40,7 +40,9 @@ def bootstrap(values: DataFrame, group: str, value: str, draws: dict[str, int |
     sizes = values.groupBy(group).agg(F.count("*").alias("size"))
     wanted = values.sparkSession.createDataFrame([(g, n) for g, n in draws.items()], f"{group} string, wanted int")
     plan = sizes.join(F.broadcast(wanted), group).select(group, "size", F.coalesce("wanted", "size").alias("k"))
-    each = plan.select(group, "size", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select(group, "size", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
+    # a fixed number of parts: the few rows before the draws would be dealt to one task
+    dealt = plan.select(group, "size", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition(min(200, max(1, reps // 50)), group, "rep")
+    each = dealt.select(group, "size", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
     picked = each.select(group, "rep", F.pmod(portable_hash(seed, F.col(group), F.col("rep"), F.col("draw")), F.col("size")).alias("idx"))
     means = picked.join(values, [group, "idx"]).groupBy(group, "rep").agg(F.avg(value).alias("m"))
     interval = means.groupBy(group).agg(F.expr(f"percentile(m, array({low}, {high}))").alias("q"))

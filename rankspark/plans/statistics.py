@@ -32,7 +32,8 @@ def inversions_and_tau(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.pair_statistics(judgments(spark, sf), "query", "pos", "score", "relevance"), "tau")
 
 
-_REPS = 100
+#: As many resamples as the operator that this query stands for.
+_REPS = 10_000
 
 
 @query(f"""with {_NDCG}, s as (select query, round(case when sum(case when irk <= 10 then (pow(2, relevance) - 1) / log2(irk + 1) else 0 end) = 0 then 0 else

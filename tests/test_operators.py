@@ -159,6 +159,21 @@ def test_evaluate(spark):
         scorers.make_scorer("nothing")
 
 
+def test_bootstrap_is_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+    from rankspark.plans import statistics
+
+    data = [("a", i, float(i * i % 7)) for i in range(9)] + [("all", i, float(i)) for i in range(5)]
+    got = {r.g: (r["mean"], r.lo, r.hi) for r in A.bootstrap(spark.createDataFrame(data, "g string, idx long, v double"), "g", "v", {"a": 4, "all": None}, statistics._REPS, "42411").collect()}
+    assert statistics._REPS == 10_000
+    for g, k in (("a", 4), ("all", 5)):
+        values = [v for h, _, v in data if h == g]
+        means = [np.mean([values[int(hashlib.md5(f"42411|{g}|{rep}|{draw}".encode()).hexdigest()[:8], 16) % len(values)] for draw in range(k)]) for rep in range(10_000)]
+        assert got[g] == pytest.approx((np.mean(values), np.percentile(means, 2.5), np.percentile(means, 97.5)))
+
+
 def test_user_scores_see_the_whole_list(spark):
     queries = spark.createDataFrame([(0, "red fox", "s", ["x"], [2, 0, 1], [1.0, 5.0, 0.0]), (1, "none", "s", ["x"], [2, 1], [0.0, 3.0])], "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>")
     docs = spark.createDataFrame([(0, "red fox runs", "a"), (1, "blue sky", "b"), (2, "green tea", "c")], "row_idx long, problem string, solution string")
