@@ -36,6 +36,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+SALTS = 256
+
+
+def salt(*columns: str) -> Column:
+    """A number under SALTS that spreads the rows of one key."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def lookup(rows: DataFrame, key: str, held: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of held, which has one row a key. However many rows share a key (or have none), no task gets more
+    than a SALTS-th of them: held is copied to the salts in which the key occurs. Sort-merge joins at every size, as neither
+    side has a proven bound."""
+    salted = rows.withColumn("_salt", salt(spread_by))
+    places = salted.select(F.col(key).alias("_key"), "_salt").where(F.col(key).isNotNull()).distinct()
+    copies = places.join(held.hint("merge"), F.col("_key") == held[key]).drop("_key")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus

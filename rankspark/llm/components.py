@@ -1,21 +1,12 @@
-"""Connected components by minimum labels with pointer jumping, on written tables.
-
-Up to `FEW` links (their number is counted, so the bound holds) one task solves them in arrays of bounded size; beyond it
-rounds of joins do, with the same result.
-"""
+"""Connected components by minimum labels with pointer jumping, on written tables, the same way at every size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
-FEW = 2_000_000
+from .common import lookup, staged
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,31 +25,21 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[labels]
 
 
-def _at_once(links: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
-        if parts:
-            nodes, labels = solve(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], names=["node", "label"])
-
-    return staged(links.coalesce(1).mapInArrow(run, "node long, label long"), "labels")
-
-
-def connected_components(links: DataFrame, most_rounds: int = 60, few: int = FEW) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a long, b long) to (node long, label long), label being the smallest node reachable. Nodes without links are not
     in it. Each round takes the smallest label around a node, then that label's own label, so paths shorten geometrically;
-    rounds are written to the shared folder, and only a count of changes comes to the driver."""
-    links = staged(links.where("a <> b").select("a", "b"), "links")
-    if links.count() <= few:
-        return _at_once(links)
+    rounds are written to the shared folder, and only whether one changed anything comes to the driver. A node with very many
+    links and a label with very many nodes are looked up in salted parts, so neither lands in one task."""
+    links = links.where("a <> b").select("a", "b")
     both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = lookup(both, "b", labels.withColumnRenamed("node", "b"), "a").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = staged(step, "step")
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        labels = staged(step.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        # a label is a node itself, so each has a row
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = staged(lookup(step, "label", jump, "node").select("node", "old", F.least("label", "far").alias("label")), "labels")
         if not labels.where("label <> old").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -74,9 +74,37 @@ def test_bounds_rise():
     assert len(bounds) == N.HASHES // N.BATCH and bounds == sorted(bounds) and bounds[-1] < 0.8 * N.HASHES
 
 
-def test_families_of_many_blocks_are_compared_by_pairs(spark, monkeypatch):
-    monkeypatch.setattr(N, "MOST_BLOCKS", 0)
+@pytest.mark.parametrize(("block", "shingles"), [(4, 1 << 20), (512, 200), (2, 50)])
+def test_small_parts_give_the_same(spark, monkeypatch, block, shingles):
+    """The same path as on large tables: buckets in many parts, keys and leaders in many salts."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", shingles)
     data = rows()
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.link_documents(docs, shingle=2).collect()}
     assert got == brute(data, 2)
+
+
+def test_groups_that_only_meet_in_parts(spark, monkeypatch):
+    """Chains of texts, each linked with the next alone, share bands with many others: leaders do not join them."""
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rnd = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    data = []
+    for chain in range(12):
+        own = [f"k{chain}x{i}" for i in range(40)]
+        for step in range(6):
+            own = own[4:] + [f"k{chain}s{step}x{i}" for i in range(4)]
+            data.append((len(data), " ".join(common + own)))
+    rnd.shuffle(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.link_documents(docs, shingle=2).collect()}
+    assert got == brute(data, 2)
+
+
+def test_rows_without_an_id_keep_one_of_a_class(spark):
+    texts = ["a b c d e f", "a b c d e f", "x y z u v w", "x y z u v w", "x y z  u v w", "", "", "g h i j k l"]
+    rows_ = [(5, texts[0], "p"), *[(None, t, "q") for t in texts[1:]], (7, "", "r"), (7, "", "r")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, rep string")
+    got = sorted(((r.doc_id, " ".join(r.text.split())) for r in N.keep_one(docs, shingle=2).collect()), key=str)
+    assert got == sorted([(5, texts[0]), (None, texts[2]), (None, ""), (None, ""), (None, texts[7]), (7, ""), (7, "")], key=str)
