@@ -1,15 +1,17 @@
 """Personal data by weak-supervision aggregation, with DataFrame functions alone on the executors.
 
-Candidates are the matches of the base patterns and of wider ones. Labelers vote on each: pattern and checksum, a gazetteer
-(top-level domains, card prefixes, calling codes, reserved networks), context words to its left, and its neighbours (a piece
-of a longer token is no personal data). Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliabilities and the prior of each kind, under priors whose weight grows with the counts, so that a vote says the same on
-tables of any size; the posteriors train a logistic span classifier on the candidates' features. Base
-spans always stay; wider candidates that the classifier accepts and that overlap no base span are added.
+Candidates are the matches of the base patterns and of wider ones: obfuscated addresses, IPv6, shorter cards, national numbers,
+and secrets (keys and tokens, a kind without a base pattern). Labelers vote for or against each: form and checksum, a gazetteer
+(top-level domains, card prefixes, calling and area codes, reserved networks, key prefixes), context words to its left, and its
+neighbours (a piece of a longer token is no personal data). Expectation-maximisation over the counts of vote patterns estimates
+each labeler's reliabilities and the prior of each kind, under priors whose weight grows with the counts, so that a vote says
+the same on tables of any size; the posteriors train a logistic span classifier on the candidates' features. Base spans always
+stay; wider candidates that the classifier accepts and that overlap no base span are added.
 
 Positions are code points, end exclusive. A match is put between two marks (0x01; one in the text becomes 0x02 first, which no
-pattern holds), the text is split there, and lengths give positions by sums over blocks of `RUN` pieces. What reaches the
-driver is a count for each pattern of votes and features (bounded by their number, about 4 x 3^4 x 60).
+pattern holds), the text is split there, and lengths give positions by sums over blocks of `RUN` pieces. A pattern runs only on
+texts that hold what it cannot do without. One pass finds, places and checks all candidates and writes them; what reaches the
+driver is a count for each pattern of votes and features (bounded by their number, about 5 x 3^4 x 60).
 
 Defined results: null and empty texts have no spans; an empty table gives an empty table; repeated rows are judged each on
 its own; other columns are not read. The patterns use possessive repeats and anchors, so they take linear time on runs of any
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 KINDS = ("email", "ip", "card", "phone")
+WIDE_KINDS = (*KINDS, "secret")
 RUN, CONTEXT = 256, 32
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _LABEL = r"[A-Za-z0-9-]"
@@ -42,18 +45,29 @@ WIDER = {
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,256}+[0-9])(?=[0-9_+/-]{0,256}+[A-Za-z])[A-Za-z0-9_+/-]{20,}+",
 }
-#: Common top-level domains, calling words a kind, and reserved first octets.
+#: What a text must hold for a pattern to run: a string, or a cheaper pattern.
+NEEDS = {
+    "base_email": "@", "base_phone": r"\+[0-9]",
+    "base_ip": r"[0-9]\.[0-9]", "base_card": r"[0-9](?:[\x20-]?[0-9]){15}",
+    "wider_email": r"[(\[]at[)\]]|\x20dot\x20", "wider_ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "wider_card": r"[0-9](?:[\x20-]?[0-9]){12}",
+    "wider_phone": r"[0-9][\x20.-][0-9]{4}", "wider_secret": r"[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]",
+}
+#: Common top-level domains, and calling words a kind; those of secrets stand right before them.
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "ch", "at")
 WORDS = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|address|courriel|correo|kontakt)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|login|network|adresse|servidor)\b",
     "card": r"(?i)\b(?:card|credit|visa|mastercard|amex|payment|pay|carte|karte|tarjeta)\b",
     "phone": r"(?i)\b(?:phone|call|tel|mobile|cell|fax|telefon|anruf|appel|llame)\b",
+    "secret": r"""(?i)(?:token|secret|key|password|passwd|pwd|bearer|credential)s?["']?\x20?[:=]?\x20?["']?$""",
 }
 VOTERS = ("form", "gazetteer", "context", "neighbours")
-#: P(vote 1 | is one) and P(vote 1 | is none) of each labeler before any count, and the prior's share of its votes.
+#: P(vote 1 | is one) and P(vote 1 | is none) of each labeler before any count, and the prior's share of its votes. A secret
+#: is seldom without a word that says so.
 RELIABLE, HELD = ((0.8, 0.4), (0.7, 0.4), (0.4, 0.1), (0.98, 0.4)), 0.1
+NAMED = ((0.8, 0.4), (0.7, 0.4), (0.8, 0.05), (0.98, 0.4))
 
 
 def _digits(text: Column) -> Column:
@@ -85,9 +99,9 @@ def _bound(f: Callable, *more) -> Callable[[Column], Column]:
     return lambda x: f(x, *more)
 
 
-def _pieces(text: Column, pattern: str) -> Column:
+def _pieces(text: Column, pattern: str, need: str) -> Column:
     """Alternately what lies between matches and matches, as (n, m, l, r): length; the match, if it is one; else its first
-    and last characters, the context of the matches beside it. Empty where nothing matches."""
+    and last characters, the context of the matches beside it. Null where nothing matches."""
     marked = F.regexp_replace(text, pattern, "\u0001$0\u0001")
     cut = F.split(marked, "\u0001", -1)
 
@@ -100,14 +114,13 @@ def _pieces(text: Column, pattern: str) -> Column:
             F.when(~match, F.substring(s, -CONTEXT, CONTEXT)).alias("r"),
         )
 
-    return F.when(F.instr(marked, "\u0001") > 0, F.transform(cut, piece))
+    holds = F.instr(text, need) > 0 if len(need) == 1 else text.rlike(need)
+    return F.when(holds & (F.instr(marked, "\u0001") > 0), F.transform(cut, piece))
 
 
-def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id and, for each kind and pattern, its pieces; written to the shared folder."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\u0001", "\u0002")
-    columns = [_pieces(text, BASE[k]).alias(f"base_{k}") for k in KINDS] + [_pieces(text, WIDER[k]).alias(f"wider_{k}") for k in KINDS]
-    return staged(documents.select(F.col(id_col).cast("long").alias("doc_id"), *columns), "pieces")
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def _sums(pieces: Column) -> Column:
@@ -125,16 +138,24 @@ def spans(pieces: Column, sums: Column) -> Column:
         own = F.get(pieces, i)
         return F.struct(start.alias("s"), (start + own["n"]).alias("e"), own["m"].alias("m"), F.get(pieces, i - 1)["r"].alias("l"), F.get(pieces, i + 1)["l"].alias("r"))
 
-    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one))
+    return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one)
+
+
+_NONE = "cast(array() as array<struct<s:int,e:int,m:string,l:string,r:string>>)"
 
 
-def located(pieces: DataFrame) -> DataFrame:
-    """candidates() with positions: for each kind, b_<kind> (valid base spans) and w_<kind> (wider candidates)."""
-    names = [c for c in pieces.columns if c != "doc_id"]
-    summed = staged(pieces.select("doc_id", *names, *[F.when(F.col(c).isNotNull(), _sums(F.col(c))).alias(f"sum_{c}") for c in names]), "sums")
-    out = [F.coalesce(F.filter(spans(F.col(f"base_{k}"), F.col(f"sum_base_{k}")), _bound(_valid_span, k)), F.expr("cast(array() as array<struct<s:int,e:int,m:string,l:string,r:string>>)")).alias(f"b_{k}") for k in KINDS]
-    out += [F.coalesce(spans(F.col(f"wider_{k}"), F.col(f"sum_wider_{k}")), F.expr("cast(array() as array<struct<s:int,e:int,m:string,l:string,r:string>>)")).alias(f"w_{k}") for k in KINDS]
-    return staged(summed.select("doc_id", *out), "spans")
+def _placed(text: Column, pattern: str, need: str) -> Column:
+    found = _let(_pieces(text, pattern, need), lambda p: F.when(p.isNotNull(), _let(_sums(p), lambda s: spans(p, s))))
+    return F.coalesce(found, F.expr(_NONE))
+
+
+def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, b_<kind> (valid base spans) and w_<kind> (wider candidates); written to the shared folder."""
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u0001"), F.lit("\u0002"))
+    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    out = [F.filter(_placed(F.col("text"), BASE[k], NEEDS[f"base_{k}"]), _bound(_valid_span, k)).alias(f"b_{k}") for k in KINDS]
+    out += [_placed(F.col("text"), WIDER[k], NEEDS[f"wider_{k}"]).alias(f"w_{k}") for k in WIDE_KINDS]
+    return staged(slim.select("doc_id", *out), "candidates")
 
 
 def voted(kind: str, base: bool, x: Column) -> list[Column]:
@@ -143,19 +164,21 @@ def voted(kind: str, base: bool, x: Column) -> list[Column]:
     d = _digits(m)
     tail = F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1))
     form = {
-        "email": F.when(m.rlike(r"^[.]|[.]@|[.]{2}"), 0).otherwise(1) if base else F.when(m.rlike(r"[(\[]"), 1).otherwise(-1),
+        "email": F.when(m.rlike(r"^[.]|[.]@|[.]{2}"), 0).otherwise(1) if base else F.when(m.rlike(r"[(\[]"), 1).otherwise(0),
         "ip": F.when(m.rlike(r"(?:^|[.])0[0-9]"), 0).otherwise(1) if base else F.when(m.rlike("[A-Fa-f]"), 1).otherwise(0),
         "card": F.when(luhn(d), 1).otherwise(0),
         "phone": F.when(d.rlike("^[1-9]"), 1).otherwise(0) if base else F.when(d.rlike("^[2-9]"), 1).otherwise(0),
+        "secret": F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), -1).when(F.length(d) * 5 < F.length(m), 0).otherwise(1),
     }[kind]
     known = {
         "email": F.when(tail.isin(*DOMAINS), 1).otherwise(0),
         "ip": F.when(m.rlike(r"^(?:0|127|2[2-5][0-9])\."), 0).otherwise(1) if base else F.when(m.rlike("^[23][0-9A-Fa-f]{3}:"), 1).otherwise(0),
         "card": F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0),
-        "phone": F.when(m.rlike(r"^\+?(?:1|3[0-9]|4[0-9]|\()"), 1).otherwise(0 if base else -1),
+        "phone": F.when(m.rlike(r"^\+(?:1|3[0-9]|4[0-9])" if base else r"^\(?[2-9][0-8]"), 1).otherwise(0),
+        "secret": F.when(m.rlike("^(?:AKIA|ASIA|AIza|eyJ|gh[opsu]_|glpat-|sk[-_]|xox[abp]-)"), 1).when(m.rlike("^[0-9A-Fa-f]+$") | m.contains("/"), 0).otherwise(-1),
     }[kind]
     context = F.when(left.rlike(WORDS[kind]), 1).otherwise(0)
-    beside = F.when(F.concat(F.substring(left, -1, 1), F.coalesce(x["r"], F.lit(""))).rlike(r"[\p{L}0-9_=/#]"), 0).otherwise(1)
+    beside = F.when(F.concat(F.substring(left, -1, 1), F.coalesce(x["r"], F.lit(""))).rlike(r"[\p{L}0-9@.]" if kind == "secret" else r"[\p{L}0-9_=/#]"), 0).otherwise(1)
     return [c.cast("int") for c in (form, known, context, beside)]
 
 
@@ -171,34 +194,33 @@ def judged(x: Column, kind: str, base: bool) -> Column:
 
 
 def estimate(counts: list[tuple[str, tuple, int]], rounds: int = 50) -> dict[tuple[str, tuple], float]:
-    """Expectation-maximisation over (kind, votes, count): the posterior of each (kind, votes). A labeler's two reliabilities
-    are shared by all kinds, a kind's prior is its own. Both are held to `RELIABLE` and to a half by `HELD` of their counts and
-ten more: a labeler that says one thing only keeps telling the classes apart, and no prior climbs to 1."""
-    if not counts:
-        return {}
-    n = len(counts[0][1])
-    prior = dict.fromkeys({k for k, _, _ in counts}, 0.5)
-    hit, miss = [list(x) for x in zip(*RELIABLE[:n], strict=True)]  # P(vote 1 | voted, is one), P(vote 1 | voted, is none)
+    """Expectation-maximisation over (kind, votes, count): the posterior of each (kind, votes). A kind has its own prior and
+    its own two reliabilities of each labeler: calling words say little of addresses and much of secrets. They are held to a
+    half and to `RELIABLE` by `HELD` of their counts and ten more: a labeler that says one thing only keeps telling the classes
+    apart, and no prior climbs to 1."""
     post: dict[tuple[str, tuple], float] = {}
-    for _ in range(rounds):
-        for kind, votes, _ in counts:
-            a, b = math.log(prior[kind]), math.log(1 - prior[kind])
-            for j, v in enumerate(votes):
-                if v >= 0:
-                    a += math.log(hit[j] if v else 1 - hit[j])
-                    b += math.log(miss[j] if v else 1 - miss[j])
-            post[kind, votes] = 1 / (1 + math.exp(min(50.0, max(-50.0, b - a))))
-        for kind in prior:
-            own = [(post[k, v], c) for k, v, c in counts if k == kind]
-            total = sum(c for _, c in own)
+    for kind in sorted({k for k, _, _ in counts}):
+        own = [(v, c) for k, v, c in counts if k == kind]
+        n, total = len(own[0][0]), sum(c for _, c in own)
+        prior = 0.5
+        before = (NAMED if kind == "secret" else RELIABLE)[:n]
+        hit, miss = [list(x) for x in zip(*before, strict=True)]  # P(vote 1 | voted, is one), P(vote 1 | voted, is none)
+        for _ in range(rounds):
+            for votes, _ in own:
+                a, b = math.log(prior), math.log(1 - prior)
+                for j, v in enumerate(votes):
+                    if v >= 0:
+                        a += math.log(hit[j] if v else 1 - hit[j])
+                        b += math.log(miss[j] if v else 1 - miss[j])
+                post[kind, votes] = 1 / (1 + math.exp(min(50.0, max(-50.0, b - a))))
             held = 2 + HELD * total
-            prior[kind] = (sum(p * c for p, c in own) + held / 2) / (total + held)
-        for j in range(n):
-            yes = [(post[k, v] * c, v[j]) for k, v, c in counts if v[j] >= 0]
-            no = [((1 - post[k, v]) * c, v[j]) for k, v, c in counts if v[j] >= 0]
-            held = 10 + HELD * (sum(w for w, _ in yes) + sum(w for w, _ in no))
-            hit[j] = (sum(w for w, v in yes if v) + held * RELIABLE[j][0]) / (sum(w for w, _ in yes) + held)
-            miss[j] = (sum(w for w, v in no if v) + held * RELIABLE[j][1]) / (sum(w for w, _ in no) + held)
+            prior = (sum(post[kind, v] * c for v, c in own) + held / 2) / (total + held)
+            for j in range(n):
+                yes = [(post[kind, v] * c, v[j]) for v, c in own if v[j] >= 0]
+                no = [((1 - post[kind, v]) * c, v[j]) for v, c in own if v[j] >= 0]
+                held = 10 + HELD * (sum(w for w, _ in yes) + sum(w for w, _ in no))
+                hit[j] = (sum(w for w, v in yes if v) + held * before[j][0]) / (sum(w for w, _ in yes) + held)
+                miss[j] = (sum(w for w, v in no if v) + held * before[j][1]) / (sum(w for w, _ in no) + held)
     return post
 
 
@@ -224,7 +246,7 @@ def classifier(rows: list[tuple[tuple, float, int]], steps: int = 300) -> dict[t
 
 def train(places: DataFrame) -> dict[tuple, float]:
     """The span classifier's weights, from the votes on all candidates of all documents."""
-    parts = [F.transform(F.col(f"{'b' if base else 'w'}_{k}"), _bound(judged, k, base)) for base in (True, False) for k in KINDS]
+    parts = [F.transform(F.col(f"{'b' if base else 'w'}_{k}"), _bound(judged, k, base)) for base in (True, False) for k in (KINDS if base else WIDE_KINDS)]
     seen = places.select(F.explode(F.concat(*parts)).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()
     rows = sorted((r["c"]["kind"], tuple(r["c"][v] for v in VOTERS), tuple(r["c"][f"f{i}"] for i in range(4)), r["n"]) for r in seen)
     merged: dict[tuple, int] = {}
@@ -257,19 +279,19 @@ def _named(spans_: Column, kind: str) -> Column:
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, b_<kind> (base spans) and x_<kind> (added spans), arrays of (s, e, m, l, r)."""
-    places = located(candidates(documents, id_col, text_col))
+    places = candidates(documents, id_col, text_col)
     weights = train(places)
     every = F.concat(*[F.col(f"b_{k}") for k in KINDS])
     taken = places.withColumn("every", every)
     added = []
-    for k in KINDS:
+    for k in WIDE_KINDS:
         added.append(F.filter(F.col(f"w_{k}"), _bound(_free, k, weights)).alias(f"x_{k}"))
     return taken.select("doc_id", *[f"b_{k}" for k in KINDS], *added)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from find()."""
+    """The contract's columns from find(), and n_spans (long): the number of all spans."""
     base = F.array_join(F.concat(*[_named(F.col(f"b_{k}"), k) for k in KINDS]), ",")
-    both = [F.array_sort(F.concat(F.col(f"b_{k}"), F.col(f"x_{k}")), lambda a, b: a["s"] - b["s"]) for k in KINDS]
-    spans_ = F.array_join(F.concat(*[_named(c, k) for c, k in zip(both, KINDS, strict=True)]), ",")
-    return found.select("doc_id", *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), spans_.alias("spans"))
+    both = {k: F.array_sort(F.concat(F.col(f"b_{k}"), F.col(f"x_{k}")), lambda a, b: a["s"] - b["s"]) for k in KINDS} | {"secret": F.col("x_secret")}
+    every = F.concat(*[_named(c, k) for k, c in both.items()])
+    return found.select("doc_id", *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"), F.size(every).cast("long").alias("n_spans"))

@@ -65,6 +65,50 @@ def test_wider_spans_join_and_plain_text_stays_clean(spark):
     assert "phone:" in got[3] and "email:" in got[3]
 
 
+def test_secrets_need_more_than_their_form(spark):
+    rnd = random.Random(8)
+    hexes = ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(60)]
+    rows = [(i, f'some words token = "{h}" and more') for i, h in enumerate(hexes[:30])]
+    rows += [(100 + i, f"see commit {h} of the repository") for i, h in enumerate(hexes[30:])]
+    rows += [(200 + i, f"https://example.org/a{i}b/some/long/path/to/page{i} is read") for i in range(30)]
+    rows += [(300, "AKIA" + "Q7Z3" * 5), (301, "key: " + "schberchbeheitschaueinbeenst"), (302, "a" * 300_000 + "1"), (303, "7" * 40)]
+    got = {r.doc_id: r for r in P.digest(P.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[i].spans == "secret:20:60" and got[i].n_spans == 1 for i in range(30))
+    assert all(got[i].spans == "" for i in got if 100 <= i < 300 or i in (301, 302, 303))
+    assert got[300].spans == "secret:0:24"
+
+
+def wider_truth():
+    """Texts with one planted span each, obfuscated or national, and look-alikes without one."""
+    rnd = random.Random(13)
+    plants, clean = [], []
+    for i in range(60):
+        plants.append(("email", f"jo{i} (at) site{i % 7}.org", "please mail {} today"))
+        plants.append(("email", f"ann{i}[at]corp.com", "contact {} for it"))
+        plants.append(("phone", f"({rnd.randint(201, 289)}) 555-{1000 + i}", "call {} now"))
+        plants.append(("phone", f"{rnd.randint(201, 289)}-555-{1000 + i}", "they gave {} then"))
+        plants.append(("ip", ":".join(f"{rnd.randrange(4096, 65536):x}" for _ in range(8)), "the host {} fell"))
+        d = "3" + rnd.choice("47") + "".join(rnd.choices("0123456789", k=12))
+        plants.append(("card", next(d + c for c in "0123456789" if luhn(d + c)), "card {} was paid"))
+        clean += [f"order x{rnd.randint(201, 289)}-555-{1000 + i}y came", f"ref={rnd.randint(201, 289)}-555-{1000 + i} is old", f"number {''.join(rnd.choices('0123456789', k=11))}00 of it", f"look at page {i} dot it"]
+    return plants, clean
+
+
+def test_wider_spans_of_each_kind_are_found_where_planted(spark):
+    plants, clean = wider_truth()
+    rows = [(i, text.format(m)) for i, (_, m, text) in enumerate(plants)] + [(10_000 + i, t) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[0][1])], "doc_id long, text string")  # a repeated row, a null id
+    found = P.digest(P.find(docs)).collect()
+    got = {r.doc_id: r.spans for r in found}
+    right = {k: [] for k in P.KINDS}
+    for i, (kind, m, text) in enumerate(plants):
+        at = text.index("{")
+        right[kind].append(got[i] == f"{kind}:{at}:{at + len(m)}")
+    assert all(sum(x) >= 0.9 * len(x) for x in right.values()), {k: sum(x) / len(x) for k, x in right.items()}
+    assert sum(got[10_000 + i] != "" for i in range(len(clean))) <= 0.05 * len(clean)
+    assert len(found) == len(rows) + 2 and got[None] == got[0] and [r.spans for r in found if r.doc_id == 0] == [got[0]] * 2
+
+
 def test_empty(spark):
     assert P.digest(P.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 
