@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 
 from .common import slices, small_batches, staged
 
-BLOCK, SEGMENT_IDS, CACHE = 1 << 15, 1 << 18, 500_000
+#: Pieces kept, and the characters of the longest that is.
+CACHE, MOST_PIECE = 500_000, 64
+BLOCK, SEGMENT_IDS = 1 << 15, 1 << 18
 MAGIC = b"RKPL"
 _HEAD = struct.Struct("<4sBBBxIIQI")
 #: A word and one mark after it, which is a token of its own there.
@@ -165,6 +167,8 @@ class PieceEncoder:
         for x, word, mark in marked:
             known[x] = known[word] + self.marks[mark]
         find, out = known.__getitem__, []
+        # long pieces are not kept, so the cache is bounded in bytes, not only in entries
+        passing = [x for x in (*fresh, *(m[0] for m in marked)) if len(x) > MOST_PIECE]
         for text, pieces in zip(texts, cut, strict=True):
             if pieces is None:
                 out.append(self.ids(text) if text else b"")
@@ -173,6 +177,11 @@ class PieceEncoder:
                 out.append(heads[pieces[0]] + b"".join(map(find, pieces[1])))
             except TypeError:  # two spaces, or a space before other white space
                 out.append(self.ids(text))
+        for x in passing:
+            del known[x]
+        for x in begun:
+            if len(x) > MOST_PIECE:
+                del heads[x]
         return out
 
 
