@@ -6,8 +6,8 @@ cover all of it, so a short outburst in a long text is not averaged away. Bags o
 with the mean of clean texts. A logistic line maps both margins to a posterior; it is fitted on a quarter of the sampled texts that
 the model did not see, at a prior between the labels' own and an even one.
 
-Labels are learned from a bounded sample: about `PER_CLASS` rows of each label value, drawn by a hash of the id, with texts of
-at most `MOST_BYTES`. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
+Labels are learned from a bounded sample: about `PER_CLASS` rows of each label value, drawn by a hash of the id; of a training
+text above `MOST_BYTES` a stretch of about that length at a hashed place is learned. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
 of both values every score is 0; a document labelled twice with both values is left out of training; other columns are not
 read.
 """
@@ -72,10 +72,13 @@ def sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: in
         return [], 0.0
     draw = F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rate = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    # about 2 * per_class ids: a bounded side
-    picked = F.broadcast(known.where(draw < rate).limit(4 * per_class))
-    rows = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= MOST_BYTES)).join(picked, F.col("d") == F.col("i")).select("i", "y", "t").limit(8 * per_class)
-    return sorted((r["i"], r["y"], r["t"]) for r in rows.collect()), counts[1] / (counts[0] + counts[1])
+    # about 2 * per_class ids: a bounded side; the limits, in the order of the draws, are seldom reached but by repeated rows
+    picked = F.broadcast(known.where(draw < rate).withColumn("draw", draw).orderBy("draw", "i").limit(4 * per_class))
+    far = F.length("t") - MOST_BYTES // 4
+    part = F.when(far > 0, F.substr("t", 1 + F.pmod(F.xxhash64("i", "t"), far).cast("int"), F.lit(MOST_BYTES // 4))).otherwise(F.col("t"))
+    rows = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(picked, F.col("d") == F.col("i"))
+    rows = rows.select("i", "y", part.alias("t"), "draw").orderBy("draw", "i", "t").limit(8 * per_class)
+    return sorted({(r["i"], r["y"], r["t"]) for r in rows.collect()}), counts[1] / (counts[0] + counts[1])
 
 
 def fit(rows: list[tuple[int, int, str]], share: float | None = None) -> Judge:
