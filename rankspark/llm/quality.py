@@ -2,9 +2,10 @@
 top-k.
 
 Texts are bags of hashed words and word pairs (words as in decontamination). The target model counts them over all documents
-labelled 1, the raw model over all documents; both are smoothed towards uniform. A document's log weight is its mean log
-ratio times `EFFECTIVE` n-grams, so long texts do not outweigh short ones merely by length. Adding a Gumbel number, drawn by a
-hash of id and text, and keeping the k largest keys samples k documents without replacement in proportion to the weights.
+labelled 1, the raw model over all documents; both are smoothed towards uniform. A document's log weight is the sum of its
+n-grams' log ratios; resample()'s `tempered` takes their mean times so many n-grams instead, so that texts do not outweigh
+others merely by length. Adding a Gumbel number, drawn by a hash of id and text, and keeping the k largest keys samples k
+documents without replacement in proportion to the weights.
 
 The k-th key is found by nested histograms of the keys' ranks (see budgets.py), without a sort; the model tables have
 2 ** BITS rows. Defined results: null and empty texts weigh as the raw text does (log weight 0); without labelled rows all weigh alike; ids
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from .budgets import SPAN, spread, thresholds
 from .common import ALNUM, LOWER, mix, slices, small_batches, staged, text_buffer, windows, word_hashes, word_spans
 
-BITS, SHARE, EFFECTIVE, SMOOTH = 14, 0.8, 50.0, 1.0
+BITS, SHARE, SMOOTH = 14, 0.8, 1.0
+#: Keys are placed by asinh, which spreads all that sums of log ratios can be over the histograms' span.
+REACH = 64.0
 
 
 def ngram_buckets(values: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 _WEIGHED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_ngrams", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("text_crc32", T.LongType())])
 
 
-def weighed(documents: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weighed(documents: DataFrame, ratio: np.ndarray, tempered: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_ngrams, log_weight and text_crc32."""
     small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(ratio)
@@ -86,21 +89,21 @@ def weighed(documents: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", tex
                 ids, owner = ngram_buckets(*text_buffer(part.column("text")), bits)
                 n = np.bincount(owner, minlength=part.num_rows)
                 total = np.bincount(owner, weights=held.value[ids], minlength=part.num_rows)
-                weight = np.round(EFFECTIVE * total / np.maximum(n, 1), 6)
+                weight = np.round(total if tempered is None else tempered * total / np.maximum(n, 1), 6)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(weight), part.column("crc")], names=_WEIGHED.names)
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.crc32(text).alias("crc")).mapInArrow(run, _WEIGHED)
 
 
-def resample(documents: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, share: float = SHARE, tempered: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per document: doc_id, n_ngrams, log_weight, gumbel_key and selected, for about `share` of all rows."""
     ratio = log_ratio(*counts(documents, labels, BITS, id_col, text_col, label_col))
-    rows = weighed(documents, ratio, id_col, text_col)
+    rows = weighed(documents, ratio, tempered, id_col, text_col)
     even = (spread(F.col("doc_id"), F.col("text_crc32"), F.lit("gumbel")) + 0.5) / float(SPAN)
     keyed = rows.withColumn("gumbel_key", F.round(F.col("log_weight") - F.log(-F.log(even)), 9))
-    # keys lie in a fixed range; their places descend, so the k largest keys are the places under a threshold
-    place = F.floor((F.lit(1024.0) - F.greatest(F.lit(-1024.0), F.least(F.lit(1023.999), F.col("gumbel_key")))) / 2048.0 * float(SPAN)).cast("long")
+    # places descend, so the k largest keys are the places under a threshold
+    place = F.floor((F.lit(REACH) - F.asinh("gumbel_key")) / (2 * REACH) * float(SPAN)).cast("long")
     keyed = staged(keyed.withColumn("h", F.greatest(F.lit(0), F.least(F.lit(SPAN - 1), place))), "keys")
     k = int(share * keyed.count())
     limit = thresholds(keyed.select(F.lit(0).alias("g"), F.lit(1).cast("long").alias("w"), "h"), {0: float(k)})[0]
