@@ -1,28 +1,29 @@
 """Sharding by sampled splitters: size-weighted key samples give quantile boundaries, records are range-partitioned, and
 overfull ranges are subdivided.
 
-Records are ordered by (key, tie). A record is sampled with a probability in proportion to its size, by a hash of itself, so
-the boundaries are size-weighted quantiles and the same at every run. Boundaries cut the order into fine ranges; a range that
-holds more than its share is subdivided by a denser sample of its own records, again and again, down to single records if
-need be: a hot key is cut by its ties. Runs of neighbouring fine ranges then become the shards, each boundary at the end of
+Records are ordered by (key, tie), the tie being their place in the table. A record is sampled with a probability in proportion to its size, by a hash of itself, so
+the boundaries are size-weighted quantiles. Boundaries cut the order into fine ranges; a range that
+holds more than its share is subdivided by a denser sample of its own records, again and again until none is left but single
+records: a range of one key (rows that repeat an id and a text) is cut by its ties. Runs of neighbouring fine ranges then become the shards, each boundary at the end of
 the fine range nearest to the ideal, so the shards' bytes are nearly equal.
 
-Only DataFrame functions run on the executors. The driver holds the fine ranges (at most `MOST_RANGES`), never records.
-Defined results: null texts have size 1 and the checksum of no bytes; null ids come first; rows that repeat an id and a text
-are ordered by nothing and get a slot each; an empty table gives an empty table; equal keys are neighbours, so a group of
+Only DataFrame functions run on the executors. The driver holds the samples and the fine ranges, a number in proportion to
+shards * FINE, never records. Defined results: null texts have size 1 and the checksum of no bytes; null ids come first; rows
+that repeat an id and a text get a slot each and may part where a shard ends; an empty table gives an empty table; equal keys are neighbours, so a group of
 equal texts is cut only where a shard ends.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-FINE, ROUNDS, MOST_RANGES = 256, 4, 200_000
+FINE = 256
 
 
 def order_key(*parts: Column) -> Column:
@@ -31,8 +32,8 @@ def order_key(*parts: Column) -> Column:
     return F.concat(*each)
 
 
-def _draw(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64("k", "nth", F.lit(seed)), 11) / F.lit(float(1 << 53))
+def _draw(of: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(of, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def _numbered(rows: DataFrame, bounds: list[str]) -> DataFrame:
@@ -54,8 +55,10 @@ def _numbered(rows: DataFrame, bounds: list[str]) -> DataFrame:
     return rows.withColumn("r", place)
 
 
-def fine_ranges(rows: DataFrame, shards: int, fine: int = FINE, rounds: int = ROUNDS) -> tuple[DataFrame, list[str], list[tuple[int, int]]]:
-    """rows (k string, size long, nth long) to rows with their range r, the bounds, and (bytes, rows) of each range."""
+def fine_ranges(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFrame, list[str], list[tuple[int, int]]]:
+    """rows (p string, the key; k string, key and tie; size long) to rows with their range r, the bounds, and (bytes, rows) of
+    each range. Samples are drawn by key, within a range of one key by tie. Every overfull range is cut in each round, at its
+    largest key or tie if its sample gives no other, so the rounds end."""
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     goal = shards * fine
     bounds: list[str] = []
@@ -64,26 +67,29 @@ def fine_ranges(rows: DataFrame, shards: int, fine: int = FINE, rounds: int = RO
     share = max(1.0, total / goal)
     per_range = 8  # samples
     rate = F.least(F.lit(1.0), F.col("size") * F.lit(per_range / share))
-    picked = sorted(r[0] for r in rows.where(_draw(0) < rate).select("k").distinct().limit(4 * per_range * goal).collect())
+    picked = sorted(r[0] for r in rows.where(_draw(F.col("p"), 0) < rate).select("p").distinct().collect())  # about per_range * goal
     bounds = sorted(set(picked[per_range::per_range]) if len(picked) > goal else set(picked[1:]))
-    for attempt in range(1, rounds + 1):
+    for attempt in count_from(1):
         numbered = _numbered(rows, bounds)
-        sums = {r["r"]: (r["s"], r["n"], r["lo"], r["hi"]) for r in numbered.groupBy("r").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect()}
-        over = {r: s for r, (s, n, lo, hi) in sums.items() if s > 2 * share and n > 1 and lo < hi}
-        if not over or attempt == rounds or len(bounds) > MOST_RANGES:
+        ends = [f(c).alias(f"{name}_{c}") for c in ("p", "k") for name, f in (("lo", F.min), ("hi", F.max))]
+        found = {r["r"]: r for r in numbered.groupBy("r").agg(F.sum("size").alias("s"), F.count("*").alias("n"), *ends).collect()}
+        sums = {r: (x["s"], x["n"]) for r, x in found.items()}
+        # of each overfull range the ends to cut between: keys, or the ties of its only key
+        over = {r: ("p" if x["lo_p"] < x["hi_p"] else "k") for r, x in found.items() if x["s"] > 2 * share and x["n"] > 1}
+        if not over:
             break
         # a denser sample of the overfull ranges alone
-        thin = F.col("r").isin(*sorted(over)) & (_draw(attempt) < F.least(F.lit(1.0), F.col("size") * F.lit(4 * per_range / share)))
+        place = F.when(F.col("r").isin(*[r for r, c in over.items() if c == "k"] or [-1]), F.col("k")).otherwise(F.col("p"))
+        thin = F.col("r").isin(*sorted(over)) & (_draw(place, attempt) < F.least(F.lit(1.0), F.col("size") * F.lit(4 * per_range / share)))
         more: dict[int, list[str]] = {}
-        for row in numbered.where(thin).select("r", "k").distinct().limit(MOST_RANGES).collect():
+        for row in numbered.where(thin).select("r", place.alias("k")).distinct().collect():
             more.setdefault(row["r"], []).append(row["k"])
         extra = set()
-        for r, keys in more.items():
-            keys.sort()
-            wanted = max(2, int(2 * over[r] / share))
-            extra |= {keys[i * len(keys) // wanted] for i in range(1, wanted)} if len(keys) > wanted else set(keys)
-        if extra <= set(bounds):
-            break
+        for r in over:
+            keys = sorted(more.get(r, ()))
+            wanted = max(2, int(2 * sums[r][0] / share))
+            own = {keys[i * len(keys) // wanted] for i in range(1, wanted)} if len(keys) > wanted else set(keys)
+            extra |= own - {found[r][f"lo_{over[r]}"]} or {found[r][f"hi_{over[r]}"]}
         bounds = sorted(set(bounds) | extra)
     return numbered, bounds, [(sums[i][0], sums[i][1]) if i in sums else (0, 0) for i in range(len(bounds) + 1)]
 
@@ -110,11 +116,11 @@ def cut(ranges: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
 
 
 def assign(records: DataFrame, shards: int) -> DataFrame:
-    """records (k, size, nth and any others) with shard int and slot long: ranges of k of nearly equal bytes, slots gapless
-    from 0 in the order of (k, nth)."""
+    """records (p, k, size and any others; k, which begins with p, tells all rows apart) with shard int and slot long: ranges of k of nearly equal bytes,
+    slots gapless from 0 in the order of k."""
     numbered, bounds, ranges = fine_ranges(records, shards)
     places = records.sparkSession.createDataFrame([(r, s, b) for r, (s, b) in enumerate(cut(ranges, shards))], "r int, shard int, before long")
-    within = F.row_number().over(Window.partitionBy("r").orderBy("k", "nth"))
+    within = F.row_number().over(Window.partitionBy("r").orderBy("k"))
     return numbered.withColumn("within", within).join(F.broadcast(places), "r").withColumn("slot", F.col("before") + F.col("within") - 1).drop("r", "within", "before")
 
 
@@ -122,6 +128,7 @@ def shard_documents(documents: DataFrame, shards: int = 16, id_col: str = "doc_i
     """Per document: doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = documents.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"))
-    slim = slim.select("doc_id", "size", "text_crc32", order_key(F.col("hash"), F.col("doc_id")).alias("k"), F.lit(0).cast("long").alias("nth"))
+    slim = slim.select("doc_id", "size", "text_crc32", order_key(F.col("hash"), F.col("doc_id")).alias("p"), order_key(F.monotonically_increasing_id()).alias("tie"))
+    slim = slim.withColumn("k", F.concat("p", "tie")).drop("tie")
     slim = staged(slim, "sizes")
     return assign(slim, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
