@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lookup, staged
+
 STEP, LEVELS = 12, 4
 SPAN = 1 << (STEP * LEVELS)
 
@@ -51,3 +53,26 @@ def thresholds(rows: DataFrame, budgets: dict[int, float], group: str = "g", wei
                 following[g] = (b << shift, left)
         active = following
     return done
+
+
+def spread_thresholds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """thresholds() for any number of groups: rows (g, w, h) and bounds (q, low 0, left) to (q, below), without a row of either on
+    the driver."""
+    active, done = staged(bounds, "bounds"), []
+    for level in range(LEVELS):
+        shift = STEP * (LEVELS - 1 - level)
+        width = 1 << (shift + STEP)
+        part = lookup(rows, "g", active.withColumnRenamed("q", "g"), "h").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + width))
+        sums = part.groupBy("g", F.shiftright("h", shift).alias("b")).agg(F.sum("w").alias("s"), F.count("*").alias("n"), F.first("left").alias("left"))
+        running = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("g").orderBy("b")))
+        crossing = running.where("upto > left").groupBy("g").agg(F.min(F.struct("b", "s", "n", "upto")).alias("at"))
+        at = active.join(crossing.hint("merge"), F.col("q") == F.col("g"), "left").select("q", "low", "left", "at.*")
+        at = staged(at.withColumn("rest", F.col("left") - (F.col("upto") - F.col("s"))), "crossing")
+        last = (F.col("n") == 1) | F.lit(level == LEVELS - 1)
+        ends = F.when(F.col("b").isNull(), F.col("low") + width).otherwise(F.shiftleft(F.col("b") + (F.col("s") - F.col("rest") < F.col("rest")).cast("long"), shift))
+        done.append(at.where(F.col("b").isNull() | last).select("q", ends.alias("below")))
+        active = at.where(F.col("b").isNotNull() & ~last).select("q", F.shiftleft("b", shift).alias("low"), F.col("rest").alias("left"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -5,20 +5,21 @@ weight among the others until none is above. A source whose target is q times it
 and once more those under a threshold of the documents' hashes, found by nested histograms (see budgets.py).
 
 Sizes count words between space and 0x09-0x0D; null texts have size 0. Sources are ordered by code point (that of UTF-8
-bytes), null last, and weigh 1, 2, 3, repeating; their number must not pass `MOST_SOURCES`, as one row each comes to the
-driver. Defined results: documents of size 0 take no words and are kept as they are; an empty table gives an empty table; rows that
+bytes), null last, and weigh 1, 2, 3, repeating. Up to `FEW_SOURCES` (they are counted) the plan of a row a source is worked
+out on the driver and broadcast; beyond it sources are numbered by range-partitioned counts, the water level is found by sums,
+and thresholds and plan are looked up in salted parts, with the same result. Defined results: documents of size 0 take no words and are kept as they are; an empty table gives an empty table; rows that
 repeat an id and a text are told apart by nothing and go together; reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .budgets import spread, thresholds
-from .common import staged
+from .budgets import spread, spread_thresholds, thresholds
+from .common import lookup, staged
 
-MOST, MOST_SOURCES = 3, 100_000
+MOST, FEW_SOURCES = 3, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -41,19 +42,70 @@ def targets(sizes: dict[str | None, int], most: int = MOST) -> dict[str | None,
         for s in above:
             out[s] = float(most * sizes[s])
         left -= sum(out[s] for s in above)
-        open_ = [s for s in open_ if s not in above]
+        gone = set(above)
+        open_ = [s for s in open_ if s not in gone]
     return out
 
 
-def _plan(slim: DataFrame, most: int) -> DataFrame | None:
-    """slim (id, source, size, h) to a row a source: source, source_size, target, whole, below."""
+def numbered(sources: DataFrame, by: str) -> DataFrame:
+    """sources with g, their place by code point, null last: counts of sorted range partitions, summed."""
+    ordered = F.col(by).asc_nulls_last()
+    ranged = sources.repartitionByRange(ordered).sortWithinPartitions(ordered)
+    placed = staged(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("g", F.col("_before") + nth).drop("_part", "_at", "_n", "_before")
+
+
+def spread_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """sources (n, and others) with target, as targets() gives it: the water level rises until no more sources are full."""
+    known = staged(numbered(sources, "source").withColumn("weight", (F.col("g") % 3 + 1).cast("int")), "sources")
+    total = known.agg(F.sum("n")).first()[0]
+    level, full = 0.0, F.lit(False)
+    while True:
+        row = known.agg(F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("w"), F.sum(F.when(full, most * F.col("n")).otherwise(0)).alias("kept")).first()
+        if not row["w"]:
+            break
+        rose = (total - row["kept"]) / row["w"]
+        if rose <= level:
+            break
+        level = rose
+        full = F.lit(level) * F.col("weight") > most * F.col("n")
+    return known.withColumn("target", F.when(full, (most * F.col("n")).cast("double")).otherwise(F.lit(level) * F.col("weight")))
+
+
+def _large_plan(slim: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """_plan() for any number of sources, without a row of them on the driver."""
+    goal = spread_targets(found, most).withColumn("whole", F.when(F.col("n") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("n")).cast("int"))).otherwise(0))
+    goal = staged(goal.withColumn("left", F.col("target") - F.col("whole") * F.col("n")).withColumn("s", _tag("source")), "goals")
+    rows = lookup(slim.where("size > 0").withColumn("s", _tag("source")), "s", goal.select("s", "g"), "h").select("g", F.col("size").alias("w"), "h")
+    below = spread_thresholds(staged(rows, "rows"), goal.where("n > 0 and left >= 0.5").select(F.col("g").alias("q"), F.lit(0).cast("long").alias("low"), "left"))
+    joined = goal.join(below.hint("merge"), goal["g"] == below["q"], "left")
+    return joined.select("source", F.col("n").alias("source_size"), "target", "whole", F.coalesce("below", F.lit(0)).cast("long").alias("below"))
+
+
+def _tag(source: str) -> Column:
+    """The source as a key without null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+
+
+def _planned(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows (source, h) with the plan of their source."""
+    tagged = plan.withColumn("_s", _tag("source")).drop("source")
+    rows = rows.withColumn("_s", _tag("source"))
+    return (rows.join(F.broadcast(tagged), "_s") if few else lookup(rows, "_s", tagged, "h")).drop("_s")
+
+
+def _plan(slim: DataFrame, most: int) -> tuple[DataFrame | None, bool]:
+    """slim (id, source, size, h) to a row a source (source, source_size, target, whole, below), and whether they are few."""
     spark = slim.sparkSession
-    found = slim.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["n"] for r in found}
+    summed = staged(slim.groupBy("source").agg(F.sum("size").alias("n")), "sources")
+    if summed.count() > FEW_SOURCES:
+        return staged(_large_plan(slim, summed, most), "plan"), False
+    sizes = {r["source"]: r["n"] for r in summed.collect()}
     if not sizes:
-        return None
+        return None, True
     goal = targets(sizes, most)
     number = {s: i for i, s in enumerate(sizes)}
     whole = {s: min(most, int(goal[s] // n)) if n else 0 for s, n in sizes.items()}
@@ -61,17 +113,17 @@ def _plan(slim: DataFrame, most: int) -> DataFrame | None:
     names = spark.createDataFrame([(s, i) for s, i in number.items()], "source string, g int")
     rows = slim.join(F.broadcast(names), slim["source"].eqNullSafe(names["source"])).select("g", F.col("size").alias("w"), "h").where("w > 0")
     below = thresholds(rows, budgets)
-    return spark.createDataFrame([(s, sizes[s], goal[s], whole[s], below.get(i, 0)) for s, i in number.items()], "source string, source_size long, target double, whole int, below long")
+    return spark.createDataFrame([(s, sizes[s], goal[s], whole[s], below.get(i, 0)) for s, i in number.items()], "source string, source_size long, target double, whole int, below long"), True
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken (words, repeats counted)."""
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), spread(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("h"))
     slim = staged(slim, "sizes")
-    plan = _plan(slim, most)
+    plan, few = _plan(slim, most)
     if plan is None:
         return slim.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    joined = slim.join(F.broadcast(plan), slim["source"].eqNullSafe(plan["source"]))
+    joined = _planned(slim, plan, few)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("h") < F.col("below")).cast("int"))).alias("taken"))
 
 
@@ -79,12 +131,10 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents as often as the mix takes them, in their own columns; those without words stay once."""
     hashed = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     slim = staged(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), spread(F.col(id_col), hashed).alias("h")), "sizes")
-    plan = _plan(slim, most)
+    plan, few = _plan(slim, most)
     if plan is None:
         return documents
-    packed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"))
-    text, source, key = (F.col("row").getField(c) for c in (text_col, source_col, id_col))
-    place = spread(key, F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
-    joined = packed.join(F.broadcast(plan), source.eqNullSafe(plan["source"]))
-    times = F.when(word_count(text) == 0, 1).otherwise(F.col("whole") + (place < F.col("below")).cast("int"))
+    packed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), F.col(source_col).alias("source"), spread(F.col(id_col), hashed).alias("h"))
+    joined = _planned(packed, plan, few)
+    times = F.when(word_count(F.col("row").getField(text_col)) == 0, 1).otherwise(F.col("whole") + (F.col("h") < F.col("below")).cast("int"))
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("row.*")
