@@ -6,7 +6,7 @@ size category 8 whose eight appended bits are b (-255..-128 for 0..127, 128..255
 blocks, so 192 bytes, all tables are flat (quantiser 1, one Huffman code of one bit a table), and a restart marker after every
 MCU resets the DC prediction. Any baseline decoder reads the frames; decode_frames() reads other baseline tables too.
 
-A film has frames of 64x32 pixels, or one narrower frame if it is shorter; the last frame is filled up with zeros, and the
+A film has frames of 32x16 pixels (1536 bytes each), or one narrower frame if it is shorter; the last frame is filled up with zeros, and the
 stream's `strd` chunk holds the payload's length. One RIFF holds at most 4 GB.
 
 Defined results: null and empty texts give one MCU of spaces; equal texts give equal films and features; other columns are not
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import slices, small_batches, staged
 
-UNIT, COLUMNS, LINES, FRAME_MS = 192, 8, 4, 40
+UNIT, COLUMNS, LINES, FRAME_MS = 192, 4, 2, 40
 #: JPEG's zigzag order: the place (row * 8 + column) of each coefficient.
 ZIGZAG = np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, (p // 8 if (p // 8 + p % 8) % 2 else p % 8))))
 _BASIS = np.array([[(0.5**0.5 if u == 0 else 1.0) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
@@ -325,41 +325,42 @@ def shots(shares: np.ndarray, window: int = 8, times: float = 3.0, least: float
 _FILM = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
 
 
-def _digest(text: str | None) -> tuple:
-    payload, size = payload_of(text)
-    media = encode_avi(payload)
+def _digest(media: bytes) -> tuple:
     film = parse_avi(media)
     heads, blocks, held = decode_frames(film)
     back = held[: film.payload_bytes].tobytes()
     shares = histograms(heads, blocks)
     clips = ",".join(f"{a * film.frame_ms:.0f}-{b * film.frame_ms:.0f}" for a, b in shots(shares))
     mean = "/".join(f"{round(1000 * x)}" for x in shares.mean(axis=0))
-    return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(blocks)};clips={clips};luma={mean}"
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(blocks)};clips={clips};luma={mean}"
 
 
 def store_and_read(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its text's film is stored, parsed and decoded again; digests of what was read back and its features."""
+    """Per document: its text's film is written to the shared folder, read from there, parsed and decoded; digests of what was
+    read back and its features."""
+    stored = staged(films(documents, id_col, text_col), "films", "zstd")
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_digest(x.as_py()) for x in batch.column("text")]
-            columns = list(zip(*found, strict=True)) if found else [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.string() if k in (2, 5, 6) else pa.int64()) for k, c in enumerate(columns))], names=_FILM.names)
+            found = [_digest(x.as_py()) for x in batch.column("media")]
+            columns = list(zip(*found, strict=True)) if found else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, pa.string() if k in (1, 4, 5) else pa.int64()) for k, c in enumerate(columns))], names=_FILM.names)
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FILM)
+    return stored.mapInArrow(run, _FILM)
 
 
 def films(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id and media, its text's film."""
+    """Per document: doc_id, n_bytes (of the text) and media, its film."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a film at a time: texts can be very long
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i : i + 1].cast(pa.int64()), pa.array([encode_avi(payload_of(batch.column("text")[i].as_py())[0])], pa.binary())], names=["doc_id", "media"])
+            for part in slices(batch, "text", 4 << 20):
+                held = [payload_of(x.as_py()) for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([n for _, n in held], pa.int64()), pa.array([encode_avi(x) for x, _ in held], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
