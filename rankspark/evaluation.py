@@ -14,7 +14,8 @@ from .scorers import make_scorer
 
 def judged_pairs(queries: DataFrame, documents: DataFrame, task: str, instruction: str | None = None) -> DataFrame:
     """queries (row_idx, problem, solution, domains, candidates, relevance_scores) and documents (row_idx, problem, solution)
-    to pairs (query, pos, doc, relevance, query_text, doc_text) under a task's views. Lists of unequal length raise."""
+    to pairs (query, pos, doc, relevance, query_text, doc_text) under a task's views. Lists of unequal length and
+    candidates without a document raise."""
     if task not in TASK_VIEWS:
         raise ValueError(f"unknown task {task!r}")
     q_view, d_view = TASK_VIEWS[task]
@@ -22,7 +23,10 @@ def judged_pairs(queries: DataFrame, documents: DataFrame, task: str, instructio
     text = instructed(instruction, text_view(q_view, F.col("problem"), F.col("solution")))
     long = queries.select(F.col("row_idx").alias("query"), text.alias("query_text"), F.posexplode(equal).alias("pos", "z")).select("query", "query_text", "pos", F.col("z.candidates").alias("doc"), F.col("z.relevance_scores").alias("relevance"))
     docs = documents.select(F.col("row_idx").alias("doc"), text_view(d_view, F.col("problem"), F.col("solution")).alias("doc_text"))
-    return long.join(docs, "doc")
+    # a candidate without a document raises: without it the ideal gain would shrink
+    found = long.join(docs.withColumn("_known", F.lit(True)), "doc", "left")
+    lost = F.raise_error(F.concat(F.lit("no document "), F.coalesce(F.col("doc").cast("string"), F.lit("null")))).cast("boolean")
+    return found.where(F.when(F.col("_known").isNull(), lost).otherwise(True)).drop("_known")
 
 
 def evaluate(queries: DataFrame, documents: DataFrame, model: str | object, tasks: list[str] | None = None, k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None, branches: list[str] | None = None, done: DataFrame | None = None) -> DataFrame:

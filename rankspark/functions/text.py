@@ -83,6 +83,7 @@ def math_word_tokens(text: Column) -> Column:
 
 
 def idea_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-cased tokens without stop words; a caller with a full list of its own passes it."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z0-9^_]+"), F.lit(0))
     return F.filter(tokens, lambda x: ~x.isin(*stop_words))
 
@@ -126,14 +127,15 @@ def number_in(text: Column) -> Column:
 
 
 def group_scores(text: Column) -> Column:
-    """map<string,double> of a listwise answer: the answer section, its last fenced block or else its last braces, with
-    doubled brackets mended, a brace added to a fenced block that lacks it, and white space collapsed; null if it can't be
-    parsed."""
+    """map<string,double> of a listwise answer: the answer section, its last JSON block or else its last braces, with the
+    second bracket after "[number]" left out, a brace added where fewer close than open, and white space collapsed; null if it
+    can't be parsed."""
     body = F.when(F.contains(text, F.lit("<answer>")), F.split_part(F.split_part(text, F.lit("<answer>"), F.lit(2)), F.lit("</answer>"), F.lit(1))).otherwise(text)
-    fenced = F.try_element_at(F.regexp_extract_all(body, F.lit(r"(?s)```(?:json)?(.*?)```"), F.lit(1)), F.lit(-1))
-    braces = F.try_element_at(F.regexp_extract_all(body, F.lit(r"(?s)\{[^{}]*\}"), F.lit(0)), F.lit(-1))
-    mended = F.trim(F.regexp_replace(F.coalesce(fenced, braces), r"\]\]", "]"))
-    closed = F.when(fenced.isNotNull() & ~F.endswith(mended, F.lit("}")), F.concat(mended, F.lit("}"))).otherwise(mended)
+    fenced = F.try_element_at(F.regexp_extract_all(body, F.lit(r"```json\s*([\s\S]+?)\s*```"), F.lit(1)), F.lit(-1))
+    braces = F.try_element_at(F.regexp_extract_all(body, F.lit(r"\{[\s\S]*?\}"), F.lit(0)), F.lit(-1))
+    mended = F.trim(F.regexp_replace(F.coalesce(fenced, braces), r"(\[\d+\])\]", "$1"))
+    opened, shut = (F.length(mended) - F.length(F.replace(mended, F.lit(c), F.lit(""))) for c in "{}")
+    closed = F.when(opened > shut, F.concat(mended, F.lit("}"))).otherwise(mended)
     return F.from_json(F.regexp_replace(closed, r"\s+", " "), "map<string,double>")
 
 
@@ -153,13 +155,15 @@ def truncated(text: Column, tokens: int) -> Column:
     return F.array_join(F.slice(F.split(text, r"\s+"), 1, tokens), " ")
 
 
-RUN_NAME = r"^(.+?)__([A-Za-z0-9]+?)(?:__n(\d+)_seed(\d+))?(?:__shard(\d+)of(\d+))?(?:__part-(.+))?$"
+#: The parts of a result file's name, with a prompt key and, in older files, without one.
+RUN_NAME = r"^(.+?)__(p\d+)(?:__n(\d+)_seed(\d+))?(?:__shard(\d+)of(\d+))?(?:__part-(.+))?$"
+RUN_NAME_WITHOUT_PROMPT = r"^(.+?)()(?:__n(\d+)_seed(\d+))?(?:__shard(\d+)of(\d+))?(?:__part-(.+))?$"
 
 
 def run_name(stem: Column) -> Column:
-    """struct of a run file's stem: model, prompt, n, seed, shard, shards, part."""
+    """struct of a run file's stem: model, prompt (null in names of the older form), n, seed, shard, shards, part."""
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(stem, RUN_NAME, i), F.lit(""))
+        return F.nullif(F.when(stem.rlike(RUN_NAME), F.regexp_extract(stem, RUN_NAME, i)).otherwise(F.regexp_extract(stem, RUN_NAME_WITHOUT_PROMPT, i)), F.lit(""))
 
     return F.struct(part(1).alias("model"), part(2).alias("prompt"), *[part(3 + i).try_cast("int").alias(n) for i, n in enumerate(("n", "seed", "shard", "shards"))], part(7).alias("part"))
 
@@ -184,11 +188,15 @@ def linked_label(text: Column) -> Column:
     return F.when(label != "", label).otherwise(F.trim(text))
 
 
+#: The dashes that count as a hyphen.
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
+
+
 def _canonical(text: str | None) -> str | None:
     if text is None:
         return None
     text = unicodedata.normalize("NFKC", text)
-    return re.sub(r"\s+", " ", re.sub("[\u2010-\u2015\u2212]", "-", text)).strip().lower()
+    return re.sub(r"\s+", " ", re.sub(f"[{DASHES}]", "-", text)).strip().lower()
 
 
 canonical_name = F.udf(_canonical, T.StringType(), useArrow=True)

@@ -47,14 +47,13 @@ def checkpoint_inversions(matches: DataFrame, truth: DataFrame, rounds: list[int
     return reduce(DataFrame.unionByName, parts)
 
 
-def expand(tree: DataFrame, items: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int = 50) -> DataFrame:
+def expand(tree: DataFrame, items: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Breadth-first tagging: items (item, path) start at the root; each level's children (item, path) pass `keep`, which
     scores and filters them, until none is left. Returns all kept (item, path). Levels are checkpointed."""
     frontier, kept = items, []
     edges = tree.where("parent_path is not null").select(F.col("path").alias("child"), F.col("parent_path").alias("path"))
-    for _ in range(most):
+    while True:  # a tree's levels end
         frontier = keep(frontier.join(edges, "path").select("item", F.col("child").alias("path"))).checkpoint()
         if not frontier.limit(1).count():
-            break
+            return reduce(DataFrame.unionByName, kept) if kept else frontier
         kept.append(frontier)
-    return reduce(DataFrame.unionByName, kept) if kept else frontier

@@ -33,17 +33,28 @@ def normalise(a: Column) -> Column:
     return F.when(size == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / size))
 
 
-def query_blocks(queries: DataFrame, id_col: str, vector_col: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set as matrices of at most QUERY_BLOCK rows."""
-    ids, rows = [], []
-    for r in queries.select(id_col, vector_col).orderBy(id_col).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+def query_blocks(queries: DataFrame, id_col: str, vector_col: str, extra: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The query set as ids, matrices of at most QUERY_BLOCK rows, and the extra column's values (0 without)."""
+    held: list[tuple] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, rows, more = zip(*held, strict=True)
+        return np.array(ids, np.int64), np.array(rows, np.float64), np.array(more)
+
+    for r in queries.select(id_col, vector_col, F.col(extra) if extra else F.lit(0)).orderBy(id_col).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == QUERY_BLOCK:
+            yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Whether each score is among the k largest of its row, ties with the last included."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    return scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None, extra_score=None) -> DataFrame:
@@ -52,20 +63,20 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     values, row values) a matrix of which each partition's k best are kept as well."""
     spark = rows.sparkSession
     parts = []
-    labels = {r[0]: r[1] for r in queries.select(id_col, extra).collect()} if extra else {}
-    for ids, matrix in query_blocks(queries, id_col, vector_col):
+    for ids, matrix, labels in query_blocks(queries, id_col, vector_col, extra):
         lengths = np.linalg.norm(matrix, axis=1)
         if (lengths == 0).any():
             raise ValueError("cosine of a zero vector")
-        held = spark.sparkContext.broadcast((ids, matrix / lengths[:, None], np.array([labels.get(i, 0) for i in ids.tolist()])))
+        held = spark.sparkContext.broadcast((ids, matrix / lengths[:, None], labels))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, unit, own = held.value
-            best: list[np.ndarray] = []
+            # query numbers, row ids (whole 64-bit numbers), scores, extras: the best so far, cut to k a query after each batch
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                found = batch.column(0).to_numpy(zero_copy_only=False)
+                found = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
                 vectors = np.array(batch.column(1).to_pylist(), np.float64)
                 sizes = np.linalg.norm(vectors, axis=1)
                 if (sizes == 0).any():
@@ -73,23 +84,22 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
                 values = batch.column(2).to_numpy(zero_copy_only=False) if extra else np.zeros(len(found))
                 scores = unit @ (vectors / sizes[:, None]).T
                 extras = extra_score(own[:, None], values[None, :]) if extra else np.zeros_like(scores)
-                for q in range(len(names)):
-                    keep = np.lexsort((found, -scores[q]))[: k + 1]
-                    if extra:
-                        keep = np.union1d(keep, np.lexsort((found, -extras[q]))[: k + 1])
-                    keep = keep[found[keep] != names[q]]
-                    best.append(np.stack([np.full(len(keep), q), found[keep], scores[q][keep], extras[q][keep]], 1))
-            if not best:
-                return
-            every = np.concatenate(best)
-            q, found, scores, extras = every.T
-            chosen = []
-            for order in (np.lexsort((found, -scores, q)), np.lexsort((found, -extras, q))):
-                own_q = q[order]
-                nth = np.arange(len(order)) - np.searchsorted(own_q, own_q)
-                chosen.append(order[nth < k])
-            keep = np.union1d(*chosen) if extra else chosen[0]
-            yield pa.RecordBatch.from_arrays([pa.array(names[q[keep].astype(int)]), pa.array(found[keep].astype(np.int64)), pa.array(scores[keep]), pa.array(extras[keep])], names=["query", "id", "score", "extra"])
+                mask = found[None, :] != names[:, None]
+                near = mask & _top(np.where(mask, scores, -np.inf), k)
+                if extra:
+                    near |= mask & _top(np.where(mask, extras, -np.inf), k)
+                q, j = np.nonzero(near)
+                best = tuple(np.concatenate(x) for x in zip(best, (q, found[j], scores[q, j], extras[q, j]), strict=True))
+                q, ids, points, more = best
+                chosen = []
+                for value in (points, more) if extra else (points,):
+                    order = np.lexsort((ids, -value, q))
+                    own_q = q[order]
+                    chosen.append(order[np.arange(len(order)) - np.searchsorted(own_q, own_q) < k])
+                keep = np.unique(np.concatenate(chosen))
+                best = tuple(x[keep] for x in best)
+            q, ids, points, more = best
+            yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(ids), pa.array(points), pa.array(more)], names=["query", "id", "score", "extra"])
 
         source = rows.select(id_col, vector_col, *([extra] if extra else []))
         parts.append(source.mapInArrow(run, "query long, id long, score double, extra double"))

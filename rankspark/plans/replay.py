@@ -45,11 +45,11 @@ def grouped_set_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""with x as (select doc_id, regexp_replace(text, '(?s)(\$\$.*?\$\$|\$[^$]*?\$|\\\(.*?\\\)|\\\[.*?\\\])', chr(1) || '\1' || chr(1), 'g') as m from documents), y as (select doc_id, string_split(m, chr(1)) as p from x)
-select doc_id, len(list_filter(list_transform(range(len(p)), lambda i: case when i % 2 = 1 then p[i + 1] else '' end), lambda s: trim(s) <> ''))::bigint as n_math, md5(array_to_string(p, '')) as whole from y""")
+select doc_id, len(list_filter(list_transform(range(len(p)), lambda i: case when i % 2 = 1 then p[i + 1] else '' end), lambda s: trim(s) <> ''))::bigint as n_math, md5(regexp_replace(array_to_string(p, ''), '[\x09-\x0D\x20]+', '', 'g')) as whole from y""")
 def text_math_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Alternating text and math pieces, whose values give the text back."""
+    """Alternating text and math pieces, whose values give the text back but for blank ones."""
     rows = load(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", "text", B.text_and_math(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.size(F.filter("p", lambda x: x["kind"] == "math")).cast("long").alias("n_math"), F.md5("text").alias("whole"))
+    return rows.select("doc_id", F.size(F.filter("p", lambda x: x["kind"] == "math")).cast("long").alias("n_math"), F.md5(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["value"]), ""), r"[\x09-\x0D\x20]+", "")).alias("whole"))
 
 
 @query("""select p_partkey, regexp_replace(p_type || 'Kind' || p_size, '([a-z0-9])([A-Z])', '\\1 \\2', 'g') as label, case when p_size % 2 = 0 then p_type else p_brand end as topic from part""")

@@ -84,11 +84,11 @@ def best_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(best.select("model", F.col("b.prompt").alias("prompt"), F.col("b.s").alias("score")), "score")
 
 
-@query("""with c as (select user_id as model, event_type as prompt, avg(value) as s from events where user_id % 7 <> 0 or event_type <> 'click' group by 1, 2)
+@query("""with c as (select user_id as model, event_type as prompt, avg(value) as s from events group by 1, 2)
 select model, coalesce(max(case when prompt = 'click' then format('{:.3f}', round(s, 3)) end), '-') as click, coalesce(max(case when prompt = 'view' then format('{:.3f}', round(s, 3)) end), '-') as view, coalesce(max(case when prompt = 'nothing' then format('{:.3f}', round(s, 3)) end), '-') as nothing from c group by 1""")
 def pivot_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Models by prompts, '-' for missing cells."""
-    rows = load(spark, sf, "events", ["user_id", "event_type", "value"]).where("user_id % 7 <> 0 or event_type <> 'click'")
+    rows = load(spark, sf, "events", ["user_id", "event_type", "value"])
     cells = rows.groupBy(F.col("user_id").alias("model"), F.col("event_type").alias("prompt")).agg(F.avg("value").alias("s"))
     return S.pivot_cells(cells, "model", "prompt", "s", ["click", "view", "nothing"])
 

@@ -105,11 +105,11 @@ def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.rollup("g").agg(F.sum((0.5 * F.col("n") + 2.0 * (F.col("n") - 1)) / 1e6).alias("cost"), F.sum("n").alias("tokens")), "cost", digits=9)
 
 
-@query("""select conv_id from conversations group by 1 having count(distinct role) <= 2""")
+@query("""select l_orderkey from lineitem group by 1 having count(distinct l_linestatus) = 1""")
 def unanimous_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups whose gradings have few distinct values."""
-    rows = load(spark, sf, "conversations", ["conv_id", "role"]).groupBy("conv_id").agg(F.collect_list("role").alias("grading"))
-    return rows.where(F.size(F.array_distinct("grading")) <= 2).select("conv_id")
+    """Orders whose lines all have one status: samples graded once or alike."""
+    rows = load(spark, sf, "lineitem", ["l_orderkey", "l_linestatus"]).groupBy("l_orderkey").agg(F.collect_list("l_linestatus").alias("grading"))
+    return rows.where(F.size(F.array_distinct("grading")) == 1).select("l_orderkey")
 
 
 @query("""select conv_id, turn as attempt, role, length(text)::bigint as n from conversations""")

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 MATCHES = "target_id string, model_a string, model_b string, winner string, winner_id string, round int"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
+
+
 def read_checkpoint(spark: SparkSession, path: str, value: str = "double") -> DataFrame:
-    """(query, value) of a JSON map with numbers as keys; a missing or broken file gives no rows."""
+    """(query, value) of a JSON map with numbers as keys, in a file, or a map a line in a folder; a missing file and broken ones
+    give no rows."""
     empty = spark.createDataFrame([], f"query long, value {value}")
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path) if _is_folder(spark, path) else spark.read.option("wholetext", True).text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return empty
@@ -22,8 +29,11 @@ def read_checkpoint(spark: SparkSession, path: str, value: str = "double") -> Da
 
 
 def write_checkpoint(rows: DataFrame, folder: str) -> None:
-    """(query, value) rows as Parquet; the writer's commit makes it whole or absent."""
-    rows.write.mode("overwrite").parquet(folder)
+    """(query, value) rows as JSON lines, one map of one entry each, which read_checkpoint() reads back; the writer's commit
+    makes the folder whole or absent. Null and NaN values are null."""
+    value = F.when(~F.isnan("value"), F.col("value")) if dict(rows.dtypes)["value"] in ("double", "float") else F.col("value")
+    entry = F.to_json(F.create_map(F.col("query").cast("string"), value), {"ignoreNullFields": "false"})
+    rows.select(entry.alias("value")).write.mode("overwrite").text(folder)
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +61,7 @@ def write_rounded_csv(rows: DataFrame, folder: str, digits: int = 4) -> None:
 
 
 def markdown(rows: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A Markdown table of a small result (the first `most` rows)."""
+    """A Markdown table of a small result; more than `most` rows raise."""
     return _grid(rows, digits, most, lambda cells: "| " + " | ".join(cells) + " |", lambda n: "|" + "---|" * n)
 
 
@@ -64,4 +74,7 @@ def _grid(rows: DataFrame, digits: int, most: int, line, rule) -> str:
     def cell(x: object) -> str:
         return "-" if x is None or x != x else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
 
-    return "\n".join([line(rows.columns), rule(len(rows.columns)), *(line([cell(x) for x in r]) for r in rows.limit(most).collect())])
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write them as CSV")
+    return "\n".join([line(rows.columns), rule(len(rows.columns)), *(line([cell(x) for x in r]) for r in found)])

@@ -14,6 +14,15 @@ def load(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return found.select(*columns) if columns else found
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset (tests), a temporary one."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rankspark-")
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def union_splits(*splits: DataFrame) -> DataFrame:
     """UNION ALL of splits in order, with split_no."""
     return reduce(DataFrame.unionByName, [s.withColumn("split_no", F.lit(i)) for i, s in enumerate(splits)])
