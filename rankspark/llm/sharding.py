@@ -1,21 +1,22 @@
 """Sharding by sampled splitters: size-weighted key samples give quantile boundaries, records are range-partitioned, and
 overfull ranges are subdivided.
 
-Records are ordered by (key, tie), the tie being their place in the table. A record is sampled with a probability in proportion to its size, by a hash of itself, so
+Records are ordered by (key, tie): a hash of the text, then the id and the place in the table. A record is sampled with a probability in proportion to its size, by a hash of itself, so
 the boundaries are size-weighted quantiles. Boundaries cut the order into fine ranges; a range that
 holds more than its share is subdivided by a denser sample of its own records, again and again until none is left but single
-records: a range of one key (rows that repeat an id and a text) is cut by its ties. Runs of neighbouring fine ranges then become the shards, each boundary at the end of
+records: a range of one key (equal texts) is cut by its ties. Runs of neighbouring fine ranges then become the shards, each boundary at the end of
 the fine range nearest to the ideal, so the shards' bytes are nearly equal.
 
 Only DataFrame functions run on the executors. The driver holds the samples and the fine ranges, a number in proportion to
 shards * FINE, never records. Defined results: null texts have size 1 and the checksum of no bytes; null ids come first; rows
-that repeat an id and a text get a slot each and may part where a shard ends; an empty table gives an empty table; equal keys are neighbours, so a group of
+that repeat an id and a text get a slot each; an empty table gives an empty table; equal keys are neighbours, so a group of
 equal texts is cut only where a shard ends.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,11 @@ def _draw(of: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(of, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _numbered(rows: DataFrame, bounds: list[str]) -> DataFrame:
     """rows with r, the number of the range: how many of the ascending bounds are <= k. The bounds are one literal array,
     searched by halving."""
@@ -46,10 +52,11 @@ def _numbered(rows: DataFrame, bounds: list[str]) -> DataFrame:
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        open_ = acc["lo"] < acc["hi"]
-        right = open_ & (F.get(held, mid) <= F.col("k"))
-        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(acc["hi"]).alias("hi"))
+        def sided(mid: Column, right: Column) -> Column:
+            return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when((acc["lo"] < acc["hi"]) & ~right, mid).otherwise(acc["hi"]).alias("hi"))
+
+        # the bounds stand once in the plan: plans are kept as text on the driver
+        return _let(F.floor((acc["lo"] + acc["hi"]) / 2).cast("int"), lambda mid: _let((acc["lo"] < acc["hi"]) & (F.get(held, mid) <= F.col("k")), lambda right: sided(mid, right)))
 
     place = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
     return rows.withColumn("r", place)
@@ -70,7 +77,7 @@ def fine_ranges(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFra
     picked = sorted(r[0] for r in rows.where(_draw(F.col("p"), 0) < rate).select("p").distinct().collect())  # about per_range * goal
     bounds = sorted(set(picked[per_range::per_range]) if len(picked) > goal else set(picked[1:]))
     for attempt in count_from(1):
-        numbered = _numbered(rows, bounds)
+        numbered = staged(_numbered(rows, bounds), "numbered")
         ends = [f(c).alias(f"{name}_{c}") for c in ("p", "k") for name, f in (("lo", F.min), ("hi", F.max))]
         found = {r["r"]: r for r in numbered.groupBy("r").agg(F.sum("size").alias("s"), F.count("*").alias("n"), *ends).collect()}
         sums = {r: (x["s"], x["n"]) for r, x in found.items()}
@@ -128,7 +135,6 @@ def shard_documents(documents: DataFrame, shards: int = 16, id_col: str = "doc_i
     """Per document: doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = documents.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"))
-    slim = slim.select("doc_id", "size", "text_crc32", order_key(F.col("hash"), F.col("doc_id")).alias("p"), order_key(F.monotonically_increasing_id()).alias("tie"))
-    slim = slim.withColumn("k", F.concat("p", "tie")).drop("tie")
+    slim = slim.select("doc_id", "size", "text_crc32", order_key(F.col("hash")).alias("p"), order_key(F.col("hash"), F.col("doc_id"), F.monotonically_increasing_id()).alias("k"))
     slim = staged(slim, "sizes")
     return assign(slim, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
