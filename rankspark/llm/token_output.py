@@ -9,8 +9,9 @@ A segment (one record of the written table, one self-contained binary image) hol
     the compressed planes
 
 Documents are range-partitioned and sorted by id, encoded whole, and written by Spark's committed Parquet writer into the
-shared folder, so a lost executor's segments are written anew. Segments are numbered by (part, segment); starts come from
-per-part totals (one row a part reaches the driver) and running sums within a part.
+shared folder, so a lost executor's segments are written anew. Segments are numbered by (part, segment), and each carries the
+number of ids before it in its part, so starts need only per-part totals (one row a part reaches the driver and goes out again):
+images are read where they lie and not shuffled.
 
 Encoding caches the ids of pieces: a text may be cut before each single space that a non-space follows, as no token spans such
 a place in byte-level pre-tokenisation, and a mark after a word is encoded apart from it. Texts that contain an added token
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,7 +192,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-_SEGMENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("image", T.BinaryType())])
+_SEGMENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("n_before", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("image", T.BinaryType())])
 
 
 def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,16 +201,16 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 0, bits: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         names, counts, held, size = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
             image = pack(names, counts, ids, bits)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
+        arrow = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("n_before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
         for batch in batches:
             for piece in slices(batch, "text"):
                 for name, ids in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").to_pylist()), strict=True):
@@ -219,7 +220,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 0, bits: bo
                     size += counts[-1]
                     if size >= SEGMENT_IDS:
                         yield segment()
-                        number += 1
+                        number, before = number + 1, before + size
                         names, counts, held, size = [], [], [], 0
         if names:
             yield segment()
@@ -240,9 +241,7 @@ def read_tokens(segments: DataFrame, with_ids: bool = True) -> DataFrame:
         bases.append((r["part"], at))
         at += r["n"]
     offsets = spark.createDataFrame(bases, "part int, base long")
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    starts = segments.select("part", "segment", "n_ids").join(F.broadcast(offsets), "part").select("part", "segment", (F.col("base") + F.coalesce(before, F.lit(0))).alias("first"))
-    placed = segments.select("part", "segment", "image").join(starts, ["part", "segment"]).select("first", "image")
+    placed = segments.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("n_before")).alias("first"), "image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
