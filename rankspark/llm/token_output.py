@@ -14,7 +14,7 @@ number of ids before it in its part, so starts need only per-part totals (one ro
 images are read where they lie and not shuffled.
 
 Encoding caches the ids of pieces: a text may be cut before each single space that a non-space follows, as no token spans such
-a place in byte-level pre-tokenisation, and a mark after a word is encoded apart from it. Texts that contain an added token
+a place in byte-level pre-tokenisation, and marks after a word, a line feed and the next line's word are encoded apart from it. Texts that contain an added token
 are encoded in one go. The cache holds two generations of bounded size and only saves work.
 
 Defined results: null and empty texts give the end id alone; null ids come first; repeated ids are ordered by text; an empty
@@ -45,8 +45,9 @@ CACHE, MOST_PIECE = 500_000, 64
 BLOCK, SEGMENT_IDS = 1 << 15, 1 << 18
 MAGIC = b"RKPL"
 _HEAD = struct.Struct("<4sBBBxIIQI")
-#: A word and one mark after it, which is a token of its own there.
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?])")
+#: A word and the marks after it (no apostrophe, which may begin a token with letters), and perhaps a line feed and a word of the
+#: next line, with or without marks: pre-tokenisation parts words, runs of marks and a line feed that a word follows.
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?*#&$%()\-\"]*)(?:\n([^\W\d_]+)([.,;:!?*#&$%()\-\"]*))?")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -122,12 +123,19 @@ class PieceEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}  # of a piece with a space before it; None if a text must not be cut there
         self.old: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes] = {"": b""}  # of what comes before a text's first space
-        self.marks = {m: self.ids(m) for m in ".,;:!?"}
+        self.heads: dict[str, bytes] = {"": b""}  # of what comes before a text's first space, or begins a line
+        self.marks: dict[str, bytes] = {"": b"", "\n": self.ids("\n")}
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def mark(self, marks: str) -> bytes:
+        if (ids := self.marks.get(marks)) is None:
+            ids = self.ids(marks)
+            if len(marks) <= 3:  # some 3000 at most
+                self.marks[marks] = ids
+        return ids
+
     def batch(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -154,8 +162,10 @@ class PieceEncoder:
                 known[x] = None
             elif (ids := old.get(x)) is not None:
                 known[x] = ids
-            elif m := _MARKED.fullmatch(x):
+            elif (m := _MARKED.fullmatch(x)) and m[1] != x:
                 marked.append((x, *m.groups()))
+                if m[3] is not None and m[3] not in heads:
+                    begun[m[3]] = None
                 if m[1] not in known:
                     if (ids := old.get(m[1])) is not None:
                         known[m[1]] = ids
@@ -165,8 +175,9 @@ class PieceEncoder:
                 fresh[x] = None
         known.update(zip(fresh, self.batch([" " + x for x in fresh]), strict=True))
         heads.update(zip(begun, self.batch(list(begun)), strict=True))
-        for x, word, mark in marked:
-            known[x] = known[word] + self.marks[mark]
+        for x, word, mark, line, end in marked:
+            ids = known[word] + self.mark(mark)
+            known[x] = ids if line is None else ids + self.marks["\n"] + heads[line] + self.mark(end)
         find, out = known.__getitem__, []
         # long pieces are not kept, so the cache is bounded in bytes, not only in entries
         passing = [x for x in (*fresh, *(m[0] for m in marked)) if len(x) > MOST_PIECE]
