@@ -23,6 +23,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -140,7 +141,17 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as little-endian 32-bit integers. The garbage collector rests meanwhile: no cycles are made, and
+        it would walk the lists of pieces again and again."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
         if len(self.heads) > CACHE:
