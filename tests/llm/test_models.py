@@ -156,3 +156,18 @@ def test_tokens_equal_plain_encoding(spark):
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, at, len(ids), zlib.crc32(raw), raw)
             at += len(ids)
     assert token_output.read_tokens(token_output.write_tokens(docs.limit(0), path)).collect() == []
+
+
+def test_pieces_cut_finely_equal_plain_encoding():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain, coder, draw = Tokenizer.from_file(path), token_output.PieceEncoder(path), random.Random(4)
+    parts = ["a", "The", "é", "²", "½", "é", "7", "_", "'", "'s", "'ll", ".", "***", "&&&", "$", "(", '"', "-", "~", "\n", "\n\n", "\r\n", "\t", " ", " ", "  ", "　", "\xa0", "語", "\U0001f600", "word"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 30))) for _ in range(4000)]
+    texts += ["end.\nNext", " it***\nline,!!", "don't.\n's", "a<|endoftext|> b", "x" * 300 + ".\n" + "y" * 300 + " z", " \n", ""]
+    for _ in range(2):  # once with an empty cache, once with a full one
+        for at in range(0, len(texts), 500):
+            for text, ids in zip(texts[at : at + 500], coder.encode(texts[at : at + 500]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
