@@ -16,11 +16,13 @@ _TOK = "list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> '')"
 
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as queries; every document is a candidate of the item that a hash of its id names."""
+    """Benchmark items as queries; every document is a candidate of the item that a hash of its id names. Texts are
+    dealt by list before they are split."""
     items = load(spark, sf, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("query"), X.whitespace_tokens(F.col("text")).alias("tokens"))
     n = items.count()
     docs = load(spark, sf, "documents", ["doc_id", "text"])
-    return items, docs.select(F.pmod(portable_hash("list", F.col("doc_id")), F.lit(n)).cast("int").alias("query"), F.col("doc_id").alias("doc"), X.whitespace_tokens(F.col("text")).alias("tokens"))
+    lists = docs.select(F.pmod(portable_hash("list", F.col("doc_id")), F.lit(n)).cast("int").alias("query"), F.col("doc_id").alias("doc"), "text").repartition("query")
+    return items, lists.select("query", "doc", X.whitespace_tokens(F.col("text")).alias("tokens"))
 
 
 _LISTS = f"""q as materialized (select row_number() over (order by item_id) - 1 as query, {_TOK.format("text")} as tokens from benchmark),

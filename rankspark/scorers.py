@@ -31,7 +31,9 @@ class Scorer(Protocol):
 def _lexical(kind: Callable[[DataFrame, DataFrame], DataFrame], tokens: Callable = X.whitespace_tokens) -> Scorer:
     def score(pairs: DataFrame) -> DataFrame:
         queries = pairs.groupBy("query").agg(F.first("query_text").alias("t")).select("query", tokens(F.col("t")).alias("tokens"))
-        candidates = pairs.select("query", F.col("pos").alias("doc"), tokens(F.col("doc_text")).alias("tokens"))
+        # texts are dealt by query before they are split, so that no token is shuffled
+        dealt = pairs.select("query", F.col("pos").alias("doc"), "doc_text").repartition("query")
+        candidates = dealt.select("query", "doc", tokens(F.col("doc_text")).alias("tokens"))
         scores = kind(queries, candidates).select("query", F.col("doc").alias("pos"), "score")
         return pairs.join(scores, ["query", "pos"])
 
