@@ -91,16 +91,28 @@ def bma_and_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.select("o_orderkey", "prev", "bma", jaccard(F.col("a_tags"), F.col("b_tags"), 1.0).alias("jac")), "bma", "jac")
 
 
-@query(f"""with {_TAX}, g as (select c_mktsegment as seg, list_distinct(list('/World/' || r_name || '/' || n_name)) as tags from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 9000 or true group by 1),
-ab as (select x.seg as i, y.seg as j, x.tags as ta, y.tags as tb from g x, g y), u as (select i, j, unnest(ta) as a, tb from ab), v as (select i, j, a, unnest(tb) as b from u), s as (select i, j, v.a, v.b, sim from v join lin on v.a = lin.a and v.b = lin.b),
-l as (select i, j, sum(m) as s from (select i, j, a, max(sim) as m from s group by 1, 2, 3) group by 1, 2), r as (select i, j, sum(m) as t from (select i, j, b, max(sim) as m from s group by 1, 2, 3) group by 1, 2)
-select ab.i, ab.j, round((s + t) / (len(ta) + len(tb)), 6) as bma, round(len(list_intersect(ta, tb))::double / (len(ta) + len(tb) - len(list_intersect(ta, tb))), 6) as jac from ab join l using (i, j) join r using (i, j)""".replace(" where c_acctbal > 9000 or true", ""))
+_SETS = """nat as (select n_nationkey, '/World/' || r_name || '/' || n_name as path from nation join region on n_regionkey = r_regionkey),
+tag as (select l_orderkey, list_distinct(list(path)) as tags from lineitem join supplier on l_suppkey = s_suppkey join nat on s_nationkey = n_nationkey group by 1),
+o as materialized (select o_orderkey as id, coalesce(tags, []) as tags from orders left join tag on o_orderkey = l_orderkey)"""
+
+
+@query(f"""with {_TAX}, {_SETS}, q as materialized (select id, tags, len(tags) as nq from o where id % 100 = 0),
+sq as materialized (select q.id as i, tags, nq, lin.b, max(sim) as best from q, (select * from lin) lin where list_contains(q.tags, lin.a) group by all),
+so as materialized (select o.id as j, lin.b as a, max(sim) as best from o, lin where list_contains(o.tags, lin.a) and lin.b like '/World/%/%' group by all),
+qt as (select id as i, unnest(tags) as t from q), ot as (select id as j, unnest(tags) as t from o),
+rt as (select i, j, sum(best) as s, count(*) from sq join ot on b = t group by 1, 2), lt as (select i, j, sum(best) as s from qt join so on t = a group by 1, 2),
+p as (select q.id as i, o.id as j, case when nq = 0 or len(o.tags) = 0 then 0 else (lt.s + rt.s) / (nq + len(o.tags)) end as bma, case when nq + len(o.tags) = 0 then 1 else len(list_intersect(q.tags, o.tags))::double / (nq + len(o.tags) - len(list_intersect(q.tags, o.tags))) end as jac
+  from q cross join o left join lt on lt.i = q.id and lt.j = o.id left join rt on rt.i = q.id and rt.j = o.id)
+select i as o_orderkey, count(*) as n, round(avg(bma), 6) as mean_bma, round(max(bma), 6) as max_bma, round(avg(jac), 6) as mean_jac, sum((jac = 1)::int)::bigint as equal_sets from p group by 1""")
 def set_pairs_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of the market segments' nation sets, by the blocked kernel."""
+    """Nation sets of the orders with ids divisible by 100 against those of all orders, by the blocked kernel."""
     sims = X.lin(X.frequencies(_paths(spark, sf)))
-    customers = load(spark, sf, "customer", ["c_nationkey", "c_mktsegment"]).join(F.broadcast(_places(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
-    groups = customers.groupBy("c_mktsegment").agg(F.collect_set("nation_path").alias("tags"))
-    return rounded(X.set_pairs(groups, sims, "c_mktsegment", "tags"), "bma", "jac")
+    nations = load(spark, sf, "supplier", ["s_suppkey", "s_nationkey"]).join(F.broadcast(_places(spark, sf)), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "nation_path")
+    tags = load(spark, sf, "lineitem", ["l_orderkey", "l_suppkey"]).join(nations, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_set("nation_path").alias("tags"))
+    orders = load(spark, sf, "orders", ["o_orderkey"]).join(tags, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "tags")
+    pairs = X.set_pairs(orders.where("o_orderkey % 100 = 0"), orders, sims, "o_orderkey", "tags")
+    found = pairs.groupBy(F.col("i").alias("o_orderkey")).agg(F.count("*").alias("n"), F.avg("bma").alias("mean_bma"), F.max("bma").alias("max_bma"), F.avg("jac").alias("mean_jac"), F.sum((F.col("jac") == 1).cast("long")).alias("equal_sets"))
+    return rounded(found, "mean_bma", "max_bma", "mean_jac")
 
 
 @query("""with t as (select p_partkey, unnest(['/m/' || p_type, '/m/' || p_type || '/' || p_brand, '/m/' || p_type || ' x', '/m', '/m/' || p_type]) as t from part), d as (select distinct p_partkey, t from t),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import average_rank
 from ..sources import runs as S
-from ..sources.tables import load, union_splits, with_row_idx
+from ..sources.tables import load, shared_folder, stream, union_splits, with_row_idx
+from ..streaming.resume import latest, score_new
+from ..streaming.resume import windowed_counts as hourly
 from .common import query, rounded
 
 
@@ -105,9 +107,12 @@ def leaderboard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select event_id, round(value, 6) as value from events where event_id not in (select event_id from events where event_type = 'view')")
 def incremental_resume(spark: SparkSession, sf: str) -> DataFrame:
-    """Only what has no checkpoint entry is left to do."""
+    """A stream of events, of which only what has no checkpoint entry is written."""
     rows = load(spark, sf, "events", ["event_id", "event_type", "value"])
-    return rounded(S.unseen(rows, rows.where("event_type = 'view'").select("event_id"), "event_id").select("event_id", "value"), "value")
+    done = rows.where("event_type = 'view'").select("event_id")
+    out = shared_folder(spark, "resume")
+    score_new(stream(spark, sf, "events", rows.columns), lambda batch: S.unseen(batch, done, "event_id").select("event_id", "value"), f"{out}/rows", f"{out}/log").awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/rows").select("event_id", "value"), "value")
 
 
 @query("select c_custkey, coalesce(o, c_acctbal) as spend, o is null as fallback from (select c_custkey, c_acctbal, round(sum(o_totalprice), 4) as o from customer left join orders on c_custkey = o_custkey group by 1, 2)")
@@ -139,7 +144,9 @@ def orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select window_start as start, event_type, n, total from (select date_trunc('hour', ts) as window_start, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2)""")
 def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming window aggregation, over a finished table."""
-    from ..streaming.resume import windowed_counts as counts
-
-    return rounded(counts(load(spark, sf, "events", ["ts", "event_type", "value"]), "ts", ["event_type"], "value"), "total", digits=4)
+    """Hourly counts of a stream of events; all windows are written again after each batch."""
+    events = stream(spark, sf, "events", ["ts", "event_type", "value"])
+    out = shared_folder(spark, "windows")
+    latest(hourly(events, "ts", ["event_type"], "value"), f"{out}/rows", f"{out}/log").awaitTermination()
+    found = spark.read.parquet(f"{out}/rows")
+    return rounded(found, "total", digits=4)

@@ -14,6 +14,13 @@ def load(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return found.select(*columns) if columns else found
 
 
+def stream(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """A Parquet table's files as a stream. The last letter of the name is a pattern, since a stream's path is a folder or a
+    pattern and the table may be one file."""
+    kinds = load(spark, folder, name, columns).schema
+    return spark.readStream.schema(kinds).parquet(f"{folder}/{name}.parque[t]")
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset (tests), a temporary one."""
     import tempfile
@@ -28,14 +35,16 @@ def union_splits(*splits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withColumn("split_no", F.lit(i)) for i, s in enumerate(splits)])
 
 
-def with_row_idx(df: DataFrame, *order: str, start: int = 0, buckets: int = 64) -> DataFrame:
+def with_row_idx(df: DataFrame, *order: str, start: int = 0, buckets: int = 64, sampled: int = 4096) -> DataFrame:
     """df with row_idx, its gapless position in the given order (which must be total), without one task ordering all rows:
-    rows go to ranges of the first order column, are numbered within, and ranges are offset by the counts before them."""
-    first = order[0]
-    bounds = df.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else None
-    if not bounds:
-        return df.withColumn("row_idx", F.row_number().over(Window.orderBy(*order)).cast("long") - 1 + start)
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(first)))
+    rows go to ranges of the whole key, are numbered within, and ranges are offset by the counts before them. Ranges end at
+    quantiles of some `sampled` keys that a hash picks, so keys of any type that can be ordered and hashed have them."""
+    kinds = dict(df.dtypes)
+    each = max(df.count() // sampled, 1)
+    keys = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(each)) == 0).distinct().orderBy(*order).collect()
+    ends = [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
+    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, key, strict=True)]) for key in dict.fromkeys(ends)]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b < F.struct(*order))) if bounds else F.lit(0)
     placed = df.withColumn("_part", part)
     counts = placed.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))

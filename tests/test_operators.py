@@ -1,6 +1,7 @@
 """Operators against hand-computed values and edge cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,12 +76,43 @@ def test_taxonomy(spark):
     s = got["/r/a", "/r/a/x"]
     assert bma[2] == 0.0 and bma[1] == pytest.approx((s + s + got["/r/a", "/r/b"]) / 3)
     sets = spark.createDataFrame([(1, ["/r/a"]), (2, ["/r/a/x", "/r/b"]), (3, [])], "id int, tags array<string>")
-    full = {(r.i, r.j): (r.bma, r.jac) for r in T.set_pairs(sets, sims, "id", "tags", block=2).collect()}
+    full = {(r.i, r.j): (r.bma, r.jac) for r in T.set_pairs(sets, sets, sims, "id", "tags", block=2).collect()}
     assert len(full) == 9 and full[1, 2][0] == pytest.approx(bma[1]) and full[3, 3] == (0.0, 1.0)
     one = spark.createDataFrame([(["/a", "/a b", "/a/b", "/a/b/c", "/a/b"],), ([],)], "t array<string>").select(T.clear_tags(F.col("t")).alias("t")).collect()
     assert [r.t for r in one] == [["/a", "/a b", "/a/b/c"], []]
 
 
+def test_set_pairs_equal_plain_loops(spark, monkeypatch):
+    rnd = random.Random(3)
+    names = [f"t{i}" for i in range(8)]
+    table = {(a, b): round(rnd.random(), 3) for a in names for b in names}
+    sets = {i: [rnd.choice([*names, "unknown"]) for _ in range(rnd.randrange(5))] for i in range(150)}
+    sets[150] = None
+    monkeypatch.setattr(T, "MOST_CELLS", 150)  # blocks of some ten queries
+    every = spark.createDataFrame(list(sets.items()), "id long, tags array<string>")
+    sims = spark.createDataFrame([(*k, v) for k, v in table.items()], "a string, b string, sim double")
+    got = {(r.i, r.j): (r.bma, r.jac) for r in T.set_pairs(every.where("id % 5 = 0"), every, sims, "id", "tags").collect()}
+    assert len(got) == 31 * 151
+    for (i, j), (bma, jac) in got.items():
+        a, b = set(sets[i] or []), set(sets[j] or [])
+        best = sum(max(table.get((x, y), 0) for y in b) for x in a if b) + sum(max(table.get((x, y), 0) for x in a) for y in b if a)
+        assert bma == pytest.approx(best / (len(a) + len(b)) if a and b else 0.0)
+        assert jac == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    assert T.set_pairs(every.where("id < 0"), every, sims, "id", "tags").count() == 0
+
+
+def test_row_positions_of_any_key(spark):
+    texts = [(None if i == 7 else f"k{i % 40:02d}é", i) for i in range(900)]
+    df = spark.createDataFrame(texts, "t string, n long").repartition(5)
+    got = {r.n: r.row_idx for r in with_row_idx(df, "t", "n").collect()}
+    want = {n: place for place, (_, n) in enumerate(sorted(texts, key=lambda x: (x[0] is not None, x[0] or "", x[1])))}
+    assert got == want
+    days = spark.range(300).selectExpr("date_add(date'2024-01-01', cast(id as int)) as d", "cast(id as decimal(12, 2)) as m", "id")
+    assert all(r.row_idx == r.id + 5 for r in with_row_idx(days, "d", start=5).collect())
+    assert all(r.row_idx == r.id for r in with_row_idx(days, "m").collect())
+    assert with_row_idx(df.where("n < 0"), "t", "n").count() == 0
+
+
 def test_selection(spark):
     v = spark.createDataFrame([(float(i),) for i in range(1, 11)] + [(float("nan"),), (None,)], "v double")
     assert S.order_statistic(v, "v", 0.55).first()[0] == 6.0
