@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.portable import portable_hash, sql_hash
 from ..operators.ranking import average_rank
+from ..operators.rounds import tried
 from ..sources import runs as S
 from ..sources.tables import load, shared_folder, stream, union_splits, with_row_idx
 from ..streaming.resume import latest, score_new
@@ -150,3 +152,18 @@ def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     latest(hourly(events, "ts", ["event_type"], "value"), f"{out}/rows", f"{out}/log").awaitTermination()
     found = spark.read.parquet(f"{out}/rows")
     return rounded(found, "total", digits=4)
+
+
+def _succeeds(attempt: str) -> str:
+    return sql_hash(f"'{attempt}|' || event_id") + " % 2 = 0"
+
+
+@query(f"select event_id, case when {_succeeds('1')} then 1 when {_succeeds('2')} then 2 when {_succeeds('3')} then 3 end::int as attempt from events")
+def retried_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is tried up to three times, half of them fail each time; a null attempt marks what is left."""
+
+    def work(left: DataFrame, attempt: int) -> DataFrame:
+        return left.where(portable_hash(str(attempt), F.col("event_id")) % 2 == 0)
+
+    done, left = tried(load(spark, sf, "events", ["event_id"]), "event_id", work, 3, shared_folder(spark, "tries"))
+    return done.select("event_id", "attempt").unionByName(left.select("event_id", F.lit(None).cast("int").alias("attempt")))
