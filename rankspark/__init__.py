@@ -2,7 +2,7 @@
 
 __version__ = "0.1.0"
 
-_LAZY = {"evaluate": "evaluation", "per_query": "evaluation", "report": "evaluation", "make_scorer": "scorers", "REGISTRY": "scorers", "Scorer": "scorers", "build_session": "session"}
+_LAZY = {"evaluate": "evaluation", "per_query": "evaluation", "report": "evaluation", "confidence": "evaluation", "make_scorer": "scorers", "REGISTRY": "scorers", "Scorer": "scorers", "build_session": "session"}
 
 __all__ = sorted(_LAZY)
 

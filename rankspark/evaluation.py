@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.text import TASK_VIEWS, instructed, text_view
 from .operators import ranking as R
+from .operators.statistics import bootstrap
 from .scorers import make_scorer
+from .sources.tables import shared_folder
 
 
 def judged_pairs(queries: DataFrame, documents: DataFrame, task: str, instruction: str | None = None) -> DataFrame:
@@ -60,3 +62,16 @@ def report(scores: DataFrame, queries: DataFrame, branches: list[str] | None = N
         return means
     grid = scores.select("task").distinct().select("task", F.explode(F.array(*[F.lit(b) for b in branches], F.lit(None).cast("string"))).alias("branch"))
     return grid.alias("g").join(means.alias("m"), (F.col("g.task") == F.col("m.task")) & F.col("g.branch").eqNullSafe(F.col("m.branch")), "left").select("g.task", "g.branch", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def confidence(queries: DataFrame, documents: DataFrame, model: str | object, task: str, branches: list[str], branch_draws: int = 300, reps: int = 10_000, seed: str = "42", k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None) -> DataFrame:
+    """(branch, mean, lo, hi): the model is scored anew, then resampled: branch_draws draws a branch, and as many as there are
+    scored queries overall (branch "all"). Scores are written once; queries that cannot be scored are left out, and a
+    branch without scores has no row."""
+    place = shared_folder(queries.sparkSession, "scores")
+    per_query(queries, documents, model, [task], k, dcg_variant, instruction).where(F.col("ndcg").isNotNull()).select("query", "ndcg").write.parquet(place)
+    scores = queries.sparkSession.read.parquet(place).join(queries.select(F.col("row_idx").alias("query"), "domains"), "query")
+    own = F.array_intersect(F.coalesce("domains", F.array().cast("array<string>")), F.array(*[F.lit(b) for b in branches]).cast("array<string>"))
+    rows = scores.select(F.explode(F.concat(F.array(F.lit("all")), own)).alias("branch"), "query", F.col("ndcg").alias("v"))
+    placed = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("branch").orderBy("query")) - 1).cast("long")).select("branch", "idx", "v")
+    return bootstrap(placed, "branch", "v", {"all": None} | dict.fromkeys(branches, branch_draws), reps, seed)

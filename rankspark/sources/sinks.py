@@ -37,7 +37,8 @@ def write_checkpoint(rows: DataFrame, folder: str) -> None:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=MATCHES, enforceSchema=False, mode="PERMISSIVE")
+    """Match logs by position: the first line is skipped whatever it names, and lines that lack fields have nulls."""
+    return spark.read.csv(path, header=True, schema=MATCHES, enforceSchema=True, mode="PERMISSIVE")
 
 
 def append_matches(rows: DataFrame, folder: str) -> None:

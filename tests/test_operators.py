@@ -206,6 +206,24 @@ def test_bootstrap_is_brute_force(spark):
         assert got[g] == pytest.approx((np.mean(values), np.percentile(means, 2.5), np.percentile(means, 97.5)))
 
 
+def test_confidence_scores_anew(spark):
+    import hashlib
+
+    import numpy as np
+
+    words = ["red", "blue", "green", "tea", "fox"]
+    docs = spark.createDataFrame([(i, f"{words[i % 5]} {words[(i * 3) % 5]} n{i}", "s") for i in range(12)], "row_idx long, problem string, solution string")
+    asked = [(q, words[q % 5], "s", ["x"] if q % 2 else ["x", "y", "other"], [q, (q + 3) % 12, (q + 5) % 12], [2.0, 0.0, float(q % 3)]) for q in range(9)]
+    queries = spark.createDataFrame(asked, "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>")
+    scores = {r.query: r.ndcg for r in evaluation.per_query(queries, docs, "bm25", ["statement-statement"]).collect()}
+    got = {r.branch: (r["mean"], r.lo, r.hi) for r in evaluation.confidence(queries, docs, "bm25", "statement-statement", ["x", "y", "z"], branch_draws=4, reps=50, seed="s").collect()}
+    assert set(got) == {"all", "x", "y"}
+    for branch, draws in (("all", 9), ("x", 4), ("y", 4)):
+        values = [scores[q] for q, _, _, domains, _, _ in asked if branch in ("all", *domains)]
+        means = [np.mean([values[int(hashlib.md5(f"s|{branch}|{rep}|{d}".encode()).hexdigest()[:8], 16) % len(values)] for d in range(draws)]) for rep in range(50)]
+        assert got[branch] == pytest.approx((np.mean(values), np.percentile(means, 2.5), np.percentile(means, 97.5)))
+
+
 def test_user_scores_see_the_whole_list(spark):
     queries = spark.createDataFrame([(0, "red fox", "s", ["x"], [2, 0, 1], [1.0, 5.0, 0.0]), (1, "none", "s", ["x"], [2, 1], [0.0, 3.0])], "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>")
     docs = spark.createDataFrame([(0, "red fox runs", "a"), (1, "blue sky", "b"), (2, "green tea", "c")], "row_idx long, problem string, solution string")

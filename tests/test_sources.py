@@ -41,6 +41,8 @@ def test_checkpoints_and_tables(spark, tmp_path):
     sinks.append_matches(matches, str(tmp_path / "m"))
     sinks.append_matches(matches, str(tmp_path / "m"))
     assert sinks.read_matches(spark, str(tmp_path / "m")).count() == 2
+    (tmp_path / "p.csv").write_text("target,first,second,who,id,n\nt,a,b,2,,3\n")
+    assert tuple(sinks.read_matches(spark, str(tmp_path / "p.csv")).first()) == ("t", "a", "b", "2", None, 3)
 
 
 def test_predicates(spark):
