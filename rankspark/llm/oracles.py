@@ -26,4 +26,35 @@ r as (select x as a, y as z from b union select r.a, b.y from r join b on r.z =
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.z, d.doc_id)) as component_id, d.doc_id <= coalesce(m.z, d.doc_id) as kept
 from documents d left join n on n.doc_id = d.doc_id left join (select a, min(z) as z from r group by 1) m on m.a = d.doc_id"""
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op8_near_duplicates": NEAR_DUPLICATES}
+FILL_IN_MIDDLE = """with h as (select row_number() over () as r, doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as s from documents),
+u as (select r, doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') as u, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(s, k, 8))::bigint) as h from h),
+c as (select *, len(u)::bigint as n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, coalesce(array_to_string(u[1 : a], ''), '') as pre, coalesce(array_to_string(u[a + 1 : b], ''), '') as mid, coalesce(array_to_string(u[b + 1 :], ''), '') as suf from c),
+o as (select *, case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end as o from p)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(o) as output_sha256, sha256(case when form = 'plain' then o else pre || mid || suf end) as restored_sha256 from o"""
+
+#: crc32 bit by bit: SQL has no such function.
+_CRC32 = "xor(4294967295, list_reduce(range(len({w})), lambda a, i: list_reduce(range(8), lambda c, j: xor(c >> 1, 3988292384 * (c & 1)), xor(a, ('0x' || {w}[i + 1])::bigint)), 4294967295))"
+
+IMPORTANCE_RESAMPLING = f"""with d as materialized (select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+b as materialized (select unnest({_WORDS.format("coalesce(text, '')")}) as g from benchmark),
+dw as materialized (select r, unnest(w) as g from d),
+v as (select g, regexp_extract_all(hex(encode(g)), '..') as x from (select g from dw union select g from b)),
+k as materialized (select g, {_CRC32.format(w="x")} % 10000 as bucket from v),
+s as (select bucket, count(*) as s from dw join k using (g) group by 1),
+t as (select bucket, count(*) as t from b join k using (g) group by 1),
+gains as materialized (select s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000)::double / ((s + 1)::double * ((select count(*) from b) + 10000)::double)))::bigint as gain from s left join t using (bucket)),
+m as (select r, sum(gain)::bigint as total, count(*) as n from dw join k using (g) join gains using (bucket) group by 1),
+w as (select r, doc_id, len(w)::bigint as n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight from d left join m using (r)),
+e as (select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5)::double / 4294967296)))::bigint as score from w),
+o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as place, (select count(*) from w where n_features >= 20) as fits from e)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * fits // 100 then place end::bigint as rank from o"""
+
+ORACLES = {
+    "op1_decontamination": DECONTAMINATION,
+    "op8_near_duplicates": NEAR_DUPLICATES,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_importance_resampling": IMPORTANCE_RESAMPLING,
+}

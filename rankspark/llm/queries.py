@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, media, mixing, near_duplicates, personal_data, quality, sharding, token_output, toxicity
+from . import byte_pair, decontamination, fill_in_middle, importance_resampling, language_id, media, mixing, near_duplicates, personal_data, quality, sharding, token_output, toxicity
 from .common import remainder, table
 from .oracles import ORACLES
 
@@ -60,6 +60,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    if ranks is None or pattern is None:
+        import public_tokenizers
+
+        ranks, pattern = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return byte_pair.digest(byte_pair.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.digest(importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -71,4 +87,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_importance_resampling": op13_importance_resampling,
 }
