@@ -49,7 +49,7 @@ def leaderboard(models: DataFrame, runs: DataFrame, ranks: DataFrame, intervals:
     """models star-joined with runs (key, score), ranks (key, rank) and intervals (key, lo, hi): state is null for rows of the
     table, which have a place by score, else why a model is pending. The joins are left to the optimizer."""
     wide = models.join(runs, key, "left").join(ranks, key, "left").join(intervals, key, "left")
-    state = F.when(F.col("score").isNull(), "no run").when(F.coalesce("rank", F.lit(0)) < current, "predates the current input protocol")
+    state = F.when(F.col("score").isNull(), "not scored yet").when(F.coalesce("rank", F.lit(0)) < current, "scored with an older prompt")
     wide = wide.withColumn("state", state)
     places = wide.where("state is null").select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("place"))  # a row a model
     return wide.join(places, key, "left")

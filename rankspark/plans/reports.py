@@ -34,7 +34,7 @@ def report_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with r as (select l_suppkey as k, round(avg(l_quantity), 6) as score from lineitem where l_suppkey % 11 <> 0 group by 1), c as (select l_suppkey as k, min(l_quantity) as lo, max(l_quantity) as hi from lineitem where l_suppkey % 2 = 0 group by 1),
-w as (select s_suppkey as key, score, lo, hi, case when score is null then 'no run' when s_nationkey % 3 < 2 then 'predates the current input protocol' end as state from supplier left join r on r.k = s_suppkey left join c on c.k = s_suppkey)
+w as (select s_suppkey as key, score, lo, hi, case when score is null then 'not scored yet' when s_nationkey % 3 < 2 then 'scored with an older prompt' end as state from supplier left join r on r.k = s_suppkey left join c on c.k = s_suppkey)
 select w.key, w.score, w.lo, w.hi, w.state, p.place from w left join (select key, row_number() over (order by score desc, key)::int as place from w where state is null) p on p.key = w.key""")
 def leaderboard_star(spark: SparkSession, sf: str) -> DataFrame:
     """Models with their runs, protocol ranks and intervals: the table in order of the score, and who is pending and why."""

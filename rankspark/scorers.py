@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import scan
 from .functions import text as X
 from .functions.portable import portable_hash
 from .operators import lexical as L
+from .operators.structure import shared_structure
 from .operators.vector import cosine
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -46,8 +48,8 @@ jaccard = _lexical(L.overlap)
 bm25_math = _lexical(L.bm25, X.math_word_tokens)
 tf_idf_math = _lexical(L.tfidf, X.math_word_tokens)
 jaccard_math = _lexical(L.overlap, X.math_word_tokens)
-#: Structural math search is approximated by overlap of math lexemes: its native index is not available.
-math_structure = _lexical(L.overlap, X.math_tokens)
+#: Formulas are met by paths of their operator trees, words as they are.
+math_structure = _lexical(shared_structure, scan.structure_terms_of)
 
 
 def embedding(encode: Encoder, query_prompt: str = "", doc_prompt: str = "", cache: DataFrame | None = None) -> Scorer:
@@ -121,11 +123,15 @@ def listwise_groups(pairs: DataFrame, size: int = 20, epochs: int = 2, seed: str
 
 
 def listwise_scores(groups: DataFrame, answers: DataFrame) -> DataFrame:
-    """listwise_groups() and answers (query, epoch, group, answer text) to (query, pos, score): parsed scores over ten, averaged
-    over the groups that gave one; 0 where none did."""
-    parsed = answers.select("query", "epoch", "group", F.explode(X.group_scores(F.col("answer"))).alias("k", "v"))
-    parsed = parsed.select("query", "epoch", "group", F.regexp_replace("k", r"[\[\] ]", "").try_cast("int").alias("place"), (F.col("v") / 10).alias("s"))
-    return groups.join(parsed, ["query", "epoch", "group", "place"], "left").groupBy("query", "pos").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"))
+    """listwise_groups() and answers (query, epoch, group, answer text) to (query, pos, score): scores over ten, averaged over the
+    epochs. A group whose answer is missing or can't be parsed counts as 0 for each of its documents in that epoch; a document that
+    a parsed answer leaves out has no score in that epoch; 0 where it has none at all."""
+    parsed = answers.select("query", "epoch", "group", scan.answer_scores_of(F.col("answer")).alias("found"))
+    # places given twice count twice, and places beyond the group meet no document
+    given = parsed.select("query", "epoch", "group", F.explode("found").alias("f")).select("query", "epoch", "group", "f.place", (F.col("f.score") / 10).alias("s"))
+    failed = groups.join(parsed.where("found is not null").select("query", "epoch", "group"), ["query", "epoch", "group"], "left_anti").withColumn("s", F.lit(0.0))
+    scored = groups.join(given, ["query", "epoch", "group", "place"], "left").select("query", "pos", "s")
+    return scored.unionByName(failed.select("query", "pos", "s")).groupBy("query", "pos").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"))
 
 
 def averaged_samples(pairs: DataFrame, answers: DataFrame) -> DataFrame:
