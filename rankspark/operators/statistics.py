@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.portable import portable_hash
 from .ranking import average_rank
@@ -15,23 +20,56 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
+def descents(values: np.ndarray) -> int:
+    """Pairs i < j with values[i] > values[j], for whole numbers from 0: bit by bit, from the highest, in n log n."""
+    total, held = 0, values.astype(np.int64)
+    for bit in reversed(range(int(held.max(initial=0)).bit_length())):
+        # equal in all higher bits, held lies together and in its first order
+        ones = held >> bit & 1
+        before = np.cumsum(ones) - ones
+        heads = np.concatenate(([True], np.diff(held >> bit + 1) != 0)) if len(held) else np.zeros(0, bool)
+        before -= before[heads][np.cumsum(heads) - 1]
+        total += int(before[ones == 0].sum())
+        held = held[np.argsort(held >> bit, kind="stable")]
+    return total
+
+
+def _pairs(*columns: np.ndarray) -> int:
+    """Pairs that are equal in all columns."""
+    if not len(columns[0]):
+        return 0
+    counts = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)[1].astype(object)
+    return int(sum(n * (n - 1) // 2 for n in counts))
+
+
 def pair_statistics(rows: DataFrame, group: str, item: str, a: str, b: str) -> DataFrame:
-    """(group, inversions, pairs, tau) over the pairs of items of a (bounded) group: opposite orders, ties ignored; tau-b in
-    which pairs tied in both columns count as ties of each."""
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col(f"x.{item}") < F.col(f"y.{item}")))
-    da, db = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")), F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
-    sums = pairs.select(F.col(f"x.{group}").alias(group), da.alias("da"), db.alias("db")).groupBy(group).agg(
-        F.sum(F.when(F.col("da") * F.col("db") < 0, 1).otherwise(0)).alias("inversions"),
-        F.sum(F.when(F.col("da") * F.col("db") > 0, 1).otherwise(0)).alias("_c"),
-        F.sum(F.when(F.col("da") == 0, 1).otherwise(0)).alias("_ta"),
-        F.sum(F.when(F.col("db") == 0, 1).otherwise(0)).alias("_tb"),
-        F.count("*").alias("pairs"),
-    )
-    # the denominator's factors: untied pairs and those tied in the other column alone or in both
-    base = F.col("_c") + F.col("inversions")
-    tau = F.try_divide((F.col("_c") - F.col("inversions")).cast("double"), F.sqrt(((base + F.col("_ta")) * (base + F.col("_tb"))).cast("double")))
-    return sums.select(group, "inversions", "pairs", tau.alias("tau"))
+    """(group, inversions, pairs, tau) over the pairs of items of a group: opposite orders, ties ignored; tau-b in which pairs
+    tied in both columns count as ties of each. Pairs with a null are in no order and not tied. A group is one task's work, in
+    n log n: no pair is made. Groups of one item have no row."""
+
+    def count(found: pa.Table) -> pa.Table:
+        n = found.num_rows
+        if n < 2:
+            return out.empty_table()
+        x, y = found.column("a").combine_chunks(), found.column("b").combine_chunks()
+        in_a, in_b = (np.asarray(c.is_valid()) for c in (x, y))
+        both = in_a & in_b
+        codes = [np.unique(c.filter(pa.array(both)).to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in (x, y)]
+        order = np.lexsort((codes[1], codes[0]))
+        inversions = descents(codes[1][order])
+        m = int(both.sum())
+        agreeing = m * (m - 1) // 2 - _pairs(codes[0]) - _pairs(codes[1]) + _pairs(*codes) - inversions
+        tied = [_pairs(np.unique(c.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]) for c in (x, y)]
+        base = agreeing + inversions
+        # the denominator's factors: untied pairs and those tied in the other column alone or in both
+        scale = math.sqrt((base + tied[0]) * (base + tied[1]))
+        tau = (agreeing - inversions) / scale if scale else None
+        return pa.table([found.column("g").slice(0, 1), [inversions], [n * (n - 1) // 2], [tau]], schema=out)
+
+    slim = rows.select(F.col(group).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"))
+    kind = slim.schema["g"].dataType.simpleString()
+    out = pa.schema([("g", to_arrow_type(slim.schema["g"].dataType)), ("inversions", pa.int64()), ("pairs", pa.int64()), ("tau", pa.float64())])
+    return slim.groupBy("g").applyInArrow(count, f"g {kind}, inversions long, pairs long, tau double").withColumnRenamed("g", group)
 
 
 def bootstrap(values: DataFrame, group: str, value: str, draws: dict[str, int | None], reps: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

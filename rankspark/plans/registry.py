@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import construction, formulas, lexical, ranking, replay, reports, runs, statistics  # noqa: F401
+from . import construction, formulas, lexical, ranking, replay, reports, runs, statistics, storage  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
