@@ -52,9 +52,9 @@ def progress_partials(spark: SparkSession, sf: str) -> DataFrame:
 def match_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Each event comes twice; a user's newest one of each type is kept, once."""
     sink, checkpoint = shared_folder(spark, "matches"), shared_folder(spark, "matches-state")
-    rows = stream(spark, sf, "events", ["user_id", "event_type", "event_id", "value"]).withColumnRenamed("event_id", "version")
+    rows = stream(spark, sf, "events", ["user_id", "event_type", "event_id", "value", "ts"]).withColumnRenamed("event_id", "version").withColumn("ts", F.col("ts").cast("timestamp"))
     keys = ["user_id", "event_type"]
-    U.upsert(rows.unionByName(rows), keys, "version", sink, checkpoint).awaitTermination()
+    U.upsert(rows.unionByName(rows), keys, "version", "ts", sink, checkpoint).awaitTermination()
     return U.current(spark, sink, keys, "version").select(*keys, "version", "value")
 
 

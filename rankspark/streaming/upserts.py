@@ -2,10 +2,11 @@
 replace themselves keeps what was let through.
 
 The state of a key is its newest version. A source may give a row any number of times, in any order, over restarts: what is not
-newer goes no further. A batch that ran twice writes its folder anew. A key that has been quiet for `ttl` loses its state,
-which bounds the store; a row that comes again later is let through again, and current() still gives the newest version once.
+newer goes no further. A batch that ran twice writes its folder anew. A key whose newest time is `ttl` behind the watermark loses its
+state, which bounds the store; a row that comes again later is let through again, and current() still gives the newest version once.
+Expiry goes by the rows' own times, so a run over given files gives the same rows whenever it runs, and ends.
 
-Defined results: rows without a version, or with a null in a key, are left out; of rows of equal version the first wins.
+Defined results: rows without a version or time, or with a null in a key, are left out; of rows of equal version the first wins.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def newer(rows: DataFrame, keys: list[str], version: str, ttl: str = "7 days") -> DataFrame:
+def newer(rows: DataFrame, keys: list[str], version: str, time: str, ttl: str = "7 days", late: str = "1 hour") -> DataFrame:
     """The rows of a stream that are newer than all before with their key; at most one a key and batch."""
     kinds = rows.schema
     quiet = int(pd.Timedelta(ttl).total_seconds() * 1000)
@@ -30,30 +31,32 @@ def newer(rows: DataFrame, keys: list[str], version: str, ttl: str = "7 days") -
             state.remove()
             return
         known, best = (state.get[0] if state.exists else None), None
+        quiet_from = state.getCurrentWatermarkMs()
         for frame in frames:
+            quiet_from = max(quiet_from, int(frame[time].max().timestamp() * 1000))
             at = frame[version].idxmax()
             if (known is None or frame.at[at, version] > known) and (best is None or frame.at[at, version] > best[version].iloc[0]):
                 best = frame.loc[[at]]
         if best is not None:
             state.update((int(best[version].iloc[0]),))
-        state.setTimeoutDuration(quiet)
+        state.setTimeoutTimestamp(quiet_from + quiet)
         if best is not None:
             yield best
 
-    present = F.col(version).isNotNull()
+    present = F.col(version).isNotNull() & F.col(time).isNotNull()
     for k in keys:
         present &= F.col(k).isNotNull()
     held = StructType([StructField("version", LongType())])
-    return rows.where(present).groupBy(*keys).applyInPandasWithState(step, kinds, held, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.where(present).withWatermark(time, late).groupBy(*keys).applyInPandasWithState(step, kinds, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert(rows: DataFrame, keys: list[str], version: str, sink: str, checkpoint: str, ttl: str = "7 days") -> StreamingQuery:
+def upsert(rows: DataFrame, keys: list[str], version: str, time: str, sink: str, checkpoint: str, ttl: str = "7 days", late: str = "1 hour") -> StreamingQuery:
     """Writes newer() rows of a stream to sink, a folder a batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return newer(rows, keys, version, ttl).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return newer(rows, keys, version, time, ttl, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, sink: str, keys: list[str], version: str) -> DataFrame:
