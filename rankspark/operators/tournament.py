@@ -61,20 +61,38 @@ def swiss_pairs(standings: DataFrame, played: DataFrame, seed: str, player_type:
 
 
 def fit_bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int, c: float = 1.0, bias: np.ndarray | None = None) -> np.ndarray:
-    """Ratings (and bias weights) of a logistic model without intercept on +1/-1 rows, with ridge 1/c, by Newton steps."""
-    width = n + (bias.shape[1] if bias is not None else 0)
-    x = np.zeros((len(a), width))
-    x[np.arange(len(a)), a] += 1
-    x[np.arange(len(a)), b] -= 1
-    if bias is not None:
-        x[:, n:] = bias
-    w = np.zeros(width)
-    total = wins_a + wins_b
+    """Ratings (and bias weights) of a logistic model without intercept on +1/-1 rows, with ridge 1/c, by Newton steps. No matrix
+    of matches and players is built: a row has two entries, and each step is solved by conjugate gradients."""
+    more = bias if bias is not None else np.zeros((len(a), 0))
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return w[a] - w[b] + more @ w[n:]
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(a, r, n) - np.bincount(b, r, n), more.T @ r))
+
+    def solve(curve: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """The step of (1 + c X' curve X) step = goal; the diagonal scales it."""
+        scale = 1 + c * np.concatenate((np.bincount(a, curve, n) + np.bincount(b, curve, n), (more * more).T @ curve))
+        step, rest = np.zeros_like(goal), goal.copy()
+        z = rest / scale
+        way, size = z.copy(), rest @ z
+        for _ in range(10 * len(goal) + 10):
+            if np.abs(rest).max(initial=0) < 1e-13:
+                break
+            ahead = way + c * backward(curve * forward(way))
+            pace = size / (way @ ahead)
+            step += pace * way
+            rest -= pace * ahead
+            z = rest / scale
+            size, before = rest @ z, size
+            way = z + size / before * way
+        return step
+
+    w, total = np.zeros(n + more.shape[1]), wins_a + wins_b
     for _ in range(100):
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = w - c * x.T @ (wins_a - total * p)
-        hess = np.eye(width) + c * x.T @ (x * (total * p * (1 - p))[:, None])
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-forward(w)))
+        step = solve(total * p * (1 - p), w - c * backward(wins_a - total * p))
         w -= step
         if np.abs(step).max(initial=0) < 1e-10:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.portable import portable_hash, sql_hash
 from ..operators import lexical as L
+from ..operators import lists as W
 from ..operators.vector import sparse_dot
 from ..sources.tables import load
 from .common import query, rounded
@@ -38,7 +39,7 @@ m as (select query, avg(idf) as mean_idf from i group by 1), w as (select qt.que
 s as (select tf.query, tf.doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) as score from tf join w on tf.query = w.query and tf.token = w.token group by 1, 2)
 select c.query, c.doc, round(coalesce(score, 0), 6) as score from c left join s on c.query = s.query and c.doc = s.doc""")
 def bm25_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.bm25(*_lists(spark, sf)), "score")
+    return rounded(W.bm25(*_lists(spark, sf)), "score")
 
 
 @query(f"""with {_LISTS}, i as (select df.query, token, ln((n_docs + 1.0) / (df + 1.0)) + 1 as idf from df join corpus using (query)),
@@ -46,7 +47,7 @@ d as (select tf.query, doc, tf.token, tf * idf as w from tf join i on tf.query =
 l as (select query, sqrt(sum(qw * qw)) as q_len from a group by 1), s as (select d.query, doc, sum(w * qw) as dot, sqrt(sum(w * w)) as d_len from d left join a on d.query = a.query and d.token = a.token group by 1, 2)
 select c.query, c.doc, round(coalesce(dot / d_len / q_len, 0), 6) as score from c left join s on c.query = s.query and c.doc = s.doc left join l on l.query = c.query""")
 def tfidf_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.tfidf(*_lists(spark, sf)), "score")
+    return rounded(W.tfidf(*_lists(spark, sf)), "score")
 
 
 @query(f"""with {_LISTS}, x as (select c.query, doc, list_distinct(q.tokens) as a, list_distinct(c.tokens) as b from c join q on c.query = q.query)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .functions import scan
 from .functions import text as X
 from .functions.portable import portable_hash
-from .operators import lexical as L
+from .operators import lexical, lists
 from .operators.structure import shared_structure
 from .operators.vector import cosine
 
@@ -42,12 +42,12 @@ def _lexical(kind: Callable[[DataFrame, DataFrame], DataFrame], tokens: Callable
     return score
 
 
-bm25 = _lexical(L.bm25)
-tf_idf = _lexical(L.tfidf)
-jaccard = _lexical(L.overlap)
-bm25_math = _lexical(L.bm25, X.math_word_tokens)
-tf_idf_math = _lexical(L.tfidf, X.math_word_tokens)
-jaccard_math = _lexical(L.overlap, X.math_word_tokens)
+bm25 = _lexical(lists.bm25)
+tf_idf = _lexical(lists.tfidf)
+jaccard = _lexical(lexical.overlap)
+bm25_math = _lexical(lists.bm25, X.math_word_tokens)
+tf_idf_math = _lexical(lists.tfidf, X.math_word_tokens)
+jaccard_math = _lexical(lexical.overlap, X.math_word_tokens)
 #: Formulas are met by paths of their operator trees, words as they are.
 math_structure = _lexical(shared_structure, scan.structure_terms_of)
 

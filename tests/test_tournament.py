@@ -69,3 +69,33 @@ def test_ratings_equal_gradient_descent(spark):
         want = plain_ratings([g[1:] for g in played if g[0] == t])
         assert {n for u, n in got if u == t} == set(want)
         assert all(abs(got[t, n] - v) < 1e-6 for n, v in want.items())
+
+
+def test_sparse_ratings_equal_dense_ones_and_take_many_players():
+    import numpy as np
+
+    from rankspark.operators.tournament import fit_bradley_terry
+
+    draw = np.random.default_rng(3)
+
+    def dense(a, b, wa, wb, n, c, bias):
+        x = np.zeros((len(a), n + bias.shape[1]))
+        x[np.arange(len(a)), a] += 1
+        x[np.arange(len(a)), b] -= 1
+        x[:, n:] = bias
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve(np.eye(len(w)) + c * x.T @ (x * ((wa + wb) * p * (1 - p))[:, None]), w - c * x.T @ (wa - (wa + wb) * p))
+        return w
+
+    for n, m, c in ((2, 1, 1.0), (12, 40, 1.0), (30, 200, 5.0)):
+        a = draw.integers(0, n, m)
+        b = (a + draw.integers(1, n, m)) % n
+        wa, wb, bias = draw.integers(0, 4, m).astype(float), draw.random(m), draw.normal(size=(m, 2))
+        assert np.abs(fit_bradley_terry(a, b, wa, wb, n, c, bias) - dense(a, b, wa, wb, n, c, bias)).max() < 1e-7
+    n = 10_000
+    a = np.arange(n).repeat(8)
+    b = (a + draw.integers(1, n, len(a))) % n
+    ratings = fit_bradley_terry(a, b, (a < b).astype(float), (a > b).astype(float), n)
+    assert ratings[: n // 4].mean() > 0.5 > -0.5 > ratings[-n // 4 :].mean()
