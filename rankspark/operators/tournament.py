@@ -60,9 +60,14 @@ def swiss_pairs(standings: DataFrame, played: DataFrame, seed: str, player_type:
     return standings.groupBy("target").cogroup(met_before.groupBy("_target")).applyInPandas(pair, f"target {kind}, a {player_type}, b {player_type}")
 
 
+#: Players whose square matrix (2 MB) is solved at once.
+FEW_PLAYERS = 512
+
+
 def fit_bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int, c: float = 1.0, bias: np.ndarray | None = None) -> np.ndarray:
     """Ratings (and bias weights) of a logistic model without intercept on +1/-1 rows, with ridge 1/c, by Newton steps. No matrix
-    of matches and players is built: a row has two entries, and each step is solved by conjugate gradients."""
+    of matches and players is built: a row has two entries. Steps of up to FEW_PLAYERS are solved by their square matrix, others by
+    conjugate gradients."""
     more = bias if bias is not None else np.zeros((len(a), 0))
 
     def forward(w: np.ndarray) -> np.ndarray:
@@ -72,13 +77,26 @@ def fit_bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b:
         return np.concatenate((np.bincount(a, r, n) - np.bincount(b, r, n), more.T @ r))
 
     def solve(curve: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """The step of (1 + c X' curve X) step = goal; the diagonal scales it."""
+        """The step of (1 + c X' curve X) step = goal; the diagonal scales gradients."""
+        if len(goal) <= FEW_PLAYERS:
+            x = np.eye(len(goal))
+            for p, q, sign in ((a, a, c), (b, b, c), (a, b, -c), (b, a, -c)):
+                np.add.at(x, (p, q), sign * curve)
+            if more.shape[1]:
+                side = c * curve[:, None] * more
+                cross = np.zeros((n, more.shape[1]))
+                np.add.at(cross, a, side)
+                np.add.at(cross, b, -side)
+                x[:n, n:], x[n:, :n] = cross, cross.T
+                x[n:, n:] += more.T @ side
+            return np.linalg.solve(x, goal)
         scale = 1 + c * np.concatenate((np.bincount(a, curve, n) + np.bincount(b, curve, n), (more * more).T @ curve))
         step, rest = np.zeros_like(goal), goal.copy()
         z = rest / scale
         way, size = z.copy(), rest @ z
-        for _ in range(10 * len(goal) + 10):
-            if np.abs(rest).max(initial=0) < 1e-13:
+        enough = 1e-10 * np.abs(goal).max(initial=0)
+        for _ in range(len(goal)):
+            if np.abs(rest).max(initial=0) <= enough:
                 break
             ahead = way + c * backward(curve * forward(way))
             pace = size / (way @ ahead)

@@ -89,7 +89,7 @@ def test_sparse_ratings_equal_dense_ones_and_take_many_players():
             w -= np.linalg.solve(np.eye(len(w)) + c * x.T @ (x * ((wa + wb) * p * (1 - p))[:, None]), w - c * x.T @ (wa - (wa + wb) * p))
         return w
 
-    for n, m, c in ((2, 1, 1.0), (12, 40, 1.0), (30, 200, 5.0)):
+    for n, m, c in ((2, 1, 1.0), (12, 40, 1.0), (30, 200, 5.0), (600, 3000, 1.0)):
         a = draw.integers(0, n, m)
         b = (a + draw.integers(1, n, m)) % n
         wa, wb, bias = draw.integers(0, 4, m).astype(float), draw.random(m), draw.normal(size=(m, 2))
