@@ -7,7 +7,8 @@ with the mean of clean texts. A logistic line maps both margins to a posterior;
 the model did not see, at a prior between the labels' own and an even one.
 
 Labels are learned from a bounded sample: about `PER_CLASS` rows of each label value, drawn by a hash of the id; of a training
-text above `MOST_BYTES` a stretch of about that length at a hashed place is learned. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
+text longer than `MOST_BYTES // 4` characters a stretch of that many at a hashed place is learned (scores cover whole texts). At most 4 *
+`PER_CLASS` labelled ids and 8 * `PER_CLASS` of their rows are taken, in the order of the draws. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
 of both values every score is 0; a document labelled twice with both values is left out of training; other columns are not
 read.
 """
