@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -71,7 +72,8 @@ def _scored(queries: DataFrame, candidates: DataFrame, score: Callable[[TokenLis
         return found.append_column("score", pa.array(score(TokenList(query, documents)), pa.float64()))
 
     out = T.StructType([*kinds.fields, T.StructField("score", T.DoubleType())])
-    wanted = queries.select("query", "tokens").groupBy("query")
+    # both sides may come from the same rows, so one has names of its own
+    wanted = queries.select(F.col("query").alias("_query"), F.col("tokens").alias("tokens")).groupBy("_query")
     return wanted.cogroup(candidates.select("query", "doc", "tokens").groupBy("query")).applyInArrow(run, out)
 
 

@@ -22,3 +22,13 @@ def test_empty_tables(spark):
     candidates = spark.createDataFrame([], "query int, doc long, tokens array<string>")
     for f in (lists.bm25, lists.tfidf, lists.overlap):
         assert f(queries, candidates).collect() == []
+
+
+def test_both_sides_from_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(1, 0, "a b", "a"), (1, 1, "a b", "c"), (2, 0, "c", "c c")], "query int, pos int, q string, d string")
+    queries = pairs.groupBy("query").agg(F.first("q").alias("t")).select("query", F.split("t", " ").alias("tokens"))
+    candidates = pairs.select("query", F.col("pos").alias("doc"), F.split("d", " ").alias("tokens"))
+    found = {(r["query"], r["pos"]): r["score"] for r in pairs.join(lists.tfidf(queries, candidates).withColumnRenamed("doc", "pos"), ["query", "pos"]).collect()}
+    assert found[1, 0] > 0 == found[1, 1] and found[2, 0] == pytest.approx(1.0)
