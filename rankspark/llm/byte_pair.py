@@ -17,7 +17,7 @@ window over the boundaries alone, without texts. digest() deals ids by row and r
 Characters newer than the tokenizer library's Unicode tables belong to other classes in the regex library: they are
 replaced, for finding boundaries only, by stand-ins of the class that the tokenizer library gives them.
 
-Defined results: null and empty texts have no ids; repeated rows and ids are encoded each on its own; ids of null documents stay
+Defined results: null and empty texts have no ids; repeated rows and ids are encoded each on its own; a null doc_id stays
 null; an empty table gives an empty table; other columns are not read.
 """
 
