@@ -7,6 +7,7 @@ are linear, a trained model is folded into one table of bucket x class scores, w
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,45 +98,57 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: list, orders: tuple[int, ...], bits: int, dim: int = 8, epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 7, weights: np.ndarray | None = None, gain: float = 10.0, floor: int = 1, least: int = 1, decay: float = 0.0, within: bool = False) -> Subwords:
-    """Minibatch descent with AdaGrad steps on embeddings and softmax together. `gain` multiplies the mean vector, which
-    lets rare telling n-grams matter early; buckets that fewer than `least` of the texts have stay neutral. Deterministic for
-    the same rows in the same order."""
+def bags(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int, within: bool = False) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+    """A function from a text's number to its bag: the distinct buckets, ascending over all orders, and their counts."""
+    size = 1 << bits
+    each = [buckets(raw, n, bits) + np.int32(k * size) for k, n in enumerate(orders)]
+    good = [inside_words(raw, n) if within else None for n in orders]
+
+    def bag(t: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for k, n in enumerate(orders):
+            span = slice(offsets[t], max(offsets[t], offsets[t + 1] - n + 1))
+            parts.append(each[k][span] if good[k] is None else each[k][span][good[k][span]])
+        return np.unique(np.concatenate(parts), return_counts=True)
+
+    return bag
+
+
+def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: list, orders: tuple[int, ...], bits: int, weights: np.ndarray | None = None, within: bool = False, **options) -> Subwords:
+    """descend() on the bags of the texts of some normalised bytes, without those too short for an n-gram."""
+    weights = np.ones(len(labels), np.float32) if weights is None else weights.astype(np.float32)
+    rows = np.flatnonzero((np.diff(offsets) >= min(orders)) & (weights > 0))
+    return descend(bags(raw, offsets, orders, bits, within), rows, labels, weights, classes, orders, bits, within=within, **options)
+
+
+def descend(bag: Callable[[int], tuple[np.ndarray, np.ndarray]], rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: list, orders: tuple[int, ...], bits: int, dim: int = 8, epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 7, gain: float = 10.0, floor: int = 1, least: int = 1, decay: float = 0.0, within: bool = False) -> Subwords:
+    """Minibatch descent with AdaGrad steps on embeddings and softmax together, over the texts numbered in `rows`. `gain`
+    multiplies the mean vector, which lets rare telling n-grams matter early; buckets that fewer than `least` of the texts have
+    stay neutral. Deterministic for the same rows in the same order."""
     rng = np.random.default_rng(seed)
     size, n_class = 1 << bits, len(classes)
     emb = rng.normal(0, 0.1, (len(orders) * size, dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (dim, n_class)).astype(np.float32)
     bias = np.zeros(n_class, np.float32)
     g_emb, g_out, g_bias = np.full(len(emb), 1e-6, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
-    each = [buckets(raw, n, bits) + np.int32(k * size) for k, n in enumerate(orders)]
-    good = [inside_words(raw, n) if within else np.ones(len(e), bool) for n, e in zip(orders, each, strict=True)]
-    weights = np.ones(len(labels), np.float32) if weights is None else weights.astype(np.float32)
-    rows = np.flatnonzero((np.diff(offsets) >= min(orders)) & (weights > 0))
+    weights = weights.astype(np.float32)
     known = np.ones(len(emb), bool)
     if least > 1:
         seen = np.zeros(len(emb), np.int32)
         for t in rows.tolist():
-            for k, n in enumerate(orders):
-                seen[np.unique(each[k][offsets[t] : max(offsets[t], offsets[t + 1] - n + 1)])] += 1
+            seen[bag(t)[0]] += 1
         known = seen >= least
     emb[~known] = 0
     for _ in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, len(order), batch):
             picked = order[at : at + batch]
-            parts, owner = [], []
-            for j, t in enumerate(picked.tolist()):
-                for k, n in enumerate(orders):
-                    span = slice(offsets[t], max(offsets[t], offsets[t + 1] - n + 1))
-                    part = each[k][span][good[k][span]]
-                    parts.append(part)
-                    owner.append(np.full(len(part), j, np.int32))
-            ids, owner = np.concatenate(parts), np.concatenate(owner)
-            length = np.maximum(np.bincount(owner, minlength=len(picked)), floor).astype(np.float32)
-            ids, owner = ids[known[ids]], owner[known[ids]]
-            # bags as distinct (text, bucket) counts: repeated n-grams are gathered once
-            pair, times = np.unique(owner.astype(np.int64) * len(emb) + ids, return_counts=True)
-            who, what = (pair // len(emb)).astype(np.int32), (pair % len(emb)).astype(np.int64)
+            held_bags = [bag(t) for t in picked.tolist()]
+            who = np.repeat(np.arange(len(picked), dtype=np.int32), [len(ids) for ids, _ in held_bags])
+            what = np.concatenate([ids for ids, _ in held_bags]).astype(np.int64)
+            times = np.concatenate([counts for _, counts in held_bags])
+            length = np.maximum([counts.sum() for _, counts in held_bags], floor).astype(np.float32)
+            who, what, times = who[known[what]], what[known[what]], times[known[what]]
             share = (times / length[who]).astype(np.float32) * gain
             edges = np.searchsorted(who, np.arange(len(picked) + 1))
             held = emb[what] * share[:, None]

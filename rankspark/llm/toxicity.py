@@ -6,11 +6,15 @@ cover all of it, so a short outburst in a long text is not averaged away. Bags o
 with the mean of clean texts. A logistic line maps both margins to a posterior; it is fitted on a quarter of the sampled texts that
 the model did not see, at a prior between the labels' own and an even one.
 
-Labels are learned from a bounded sample: about `PER_CLASS` rows of each label value, drawn by a hash of the id; of a training
-text longer than `MOST_BYTES // 4` characters a stretch of that many at a hashed place is learned (scores cover whole texts). At most 4 *
-`PER_CLASS` labelled ids and 8 * `PER_CLASS` of their rows are taken, in the order of the draws. Defined results: null and empty texts get the posterior of a bag of such fillings; without rows
-of both values every score is 0; a document labelled twice with both values is left out of training; other columns are not
-read.
+Labels are learned from a bounded sample of rows: about `PER_CLASS` of each label value, drawn by a hash of the id; at most 4 *
+`PER_CLASS` labelled ids and 8 * `PER_CLASS` of their rows are taken, in the order of the draws. Sampled texts are learned
+whole: they are written to the shared folder, tasks count their n-grams, and only the bags (distinct buckets and counts) reach
+the driver, which holds no text. A count c is learned as 1 + log2(c), so that what a long text repeats does not drown the
+rest of it; scores take plain counts. The margins that the line is fitted on are computed by tasks too.
+
+Defined results: null and empty texts get the posterior of a bag of such fillings; without rows of both values every score is
+0; a document labelled twice with both values is left out of training; rows that repeat an id and a text are learned once;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, slices, small_batches, text_buffer
-from .subwords import Subwords, normalised, train
+from .common import remainder, slices, small_batches, staged, text_buffer
+from .subwords import Subwords, bags, descend, normalised
 
-PER_CLASS, MOST_BYTES, PIECE = 2000, 20_000, 320
+PER_CLASS, PIECE = 2000, 320
 ORDERS, BITS, FLOOR, LEAST = (4, 6, 8), 18, 200, 6
 
 
@@ -65,46 +69,93 @@ def piece_offsets(begins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((starts, begins[-1:])), first[:-1]
 
 
-def sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, str]], float]:
-    """About per_class rows of each label value, the same at every run, and the share of 1 among all."""
+def sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, np.ndarray, float] | None:
+    """About per_class rows of each label value, the same at every run: a written table (n, t) of whole texts, the labels by n,
+    and the share of 1 among all labelled ids. None without rows of both values."""
+    spark = documents.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & learn).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z and i is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return [], 0.0
+        return None
     draw = F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rate = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     # about 2 * per_class ids: a bounded side; the limits, in the order of the draws, are seldom reached but by repeated rows
     picked = F.broadcast(known.where(draw < rate).withColumn("draw", draw).orderBy("draw", "i").limit(4 * per_class))
-    far = F.length("t") - MOST_BYTES // 4
-    part = F.when(far > 0, F.substr("t", 1 + F.pmod(F.xxhash64("i", "t"), far).cast("int"), F.lit(MOST_BYTES // 4))).otherwise(F.col("t"))
     rows = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(picked, F.col("d") == F.col("i"))
-    rows = rows.select("i", "y", part.alias("t"), "draw").orderBy("draw", "i", "t").limit(8 * per_class)
-    return sorted({(r["i"], r["y"], r["t"]) for r in rows.collect()}), counts[1] / (counts[0] + counts[1])
-
-
-def fit(rows: list[tuple[int, int, str]], share: float | None = None) -> Judge:
-    """Joint training on three quarters of the rows, the line on the rest. share: how many of all labelled rows are toxic."""
-    if len({y for _, y, _ in rows}) < 2:
-        return Judge(None)
-    labels = np.array([y for _, y, _ in rows])
-    encoded = [t.encode("utf-8", "replace") for _, _, t in rows]
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int64)
-    raw, begins = normalised(np.frombuffer(b"".join(encoded), np.uint8), offsets)
-    held = np.arange(len(rows)) % 4 == 3
+    keyed = rows.withColumn("key", F.md5(F.concat(F.col("i").cast("string"), F.lit(":"), F.col("t")).cast("binary")))
+    texts = staged(keyed.select("i", "y", "draw", "key", "t").dropDuplicates(["key"]), "toxic_texts")
+    slim = texts.select("i", "y", "draw", "key").orderBy("draw", "i", "key").limit(8 * per_class).collect()
+    slim = sorted(slim, key=lambda r: (r["i"], r["key"]))
+    if len({r["y"] for r in slim}) < 2:
+        return None
+    numbers = spark.createDataFrame([(r["key"], n) for n, r in enumerate(slim)], "key string, n long")
+    return texts.select("key", "t").join(F.broadcast(numbers), "key").select("n", "t"), np.array([r["y"] for r in slim]), counts[1] / (counts[0] + counts[1])
+
+
+def _numbers(spark: SparkSession, wanted: np.ndarray) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(int(n),) for n in np.flatnonzero(wanted)], "n long"))
+
+
+def collected_bags(texts: DataFrame, wanted: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The bags of the wanted rows of texts (n, t), counted by tasks."""
+    spark = texts.sparkSession
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                raw, begins = normalised(*text_buffer(part.column("t")))
+                bag = bags(raw, begins, ORDERS, BITS, within=True)
+                found = [bag(t) for t in range(part.num_rows)]
+                ids = pa.array([np.asarray(b, "<i4").tobytes() for b, _ in found], pa.binary())
+                times = pa.array([np.asarray(c, "<i4").tobytes() for _, c in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("n"), ids, times], names=["n", "ids", "times"])
+
+    rows = texts.join(_numbers(spark, wanted), "n").mapInArrow(run, "n long, ids binary, times binary")
+    return {r["n"]: (np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["times"], "<i4")) for r in rows.toLocalIterator()}
+
+
+def collected_margins(texts: DataFrame, judge: Judge, wanted: np.ndarray) -> np.ndarray:
+    """Judge.margins() of the wanted rows of texts (n, t), in the order of n, computed by tasks."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(judge)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                both = held.value.margins(*normalised(*text_buffer(part.column("t"))))
+                yield pa.RecordBatch.from_arrays([part.column("n"), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["n", "whole", "best"])
+
+    rows = texts.join(_numbers(spark, wanted), "n").mapInArrow(run, "n long, whole double, best double").collect()
+    held.destroy()
+    return np.array([(r["whole"], r["best"]) for r in sorted(rows, key=lambda r: r["n"])])
+
+
+def fit(texts: DataFrame, labels: np.ndarray, share: float | None = None) -> Judge:
+    """Joint training on three quarters of the rows of texts (n, t), the line on the rest. labels: 0 or 1, of both some, by n;
+    share: how many of all labelled rows are toxic."""
+    held = np.arange(len(labels)) % 4 == 3
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
-        held = np.zeros(len(rows), bool)
+        held = np.zeros(len(labels), bool)
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) * ~held
     least = max(1, min(LEAST, int((labels[~held] == 1).sum()) // 12))
-    judge = Judge(train(raw, begins, labels, [0, 1], ORDERS, BITS, epochs=5, rate=0.1, weights=balance, gain=30.0, floor=FLOOR, least=least, decay=0.002, within=True))
-    total, count = judge.model.sums(raw, begins)
-    clean = (labels == 0) & ~(held if held.any() else np.zeros(len(rows), bool))
-    judge.model.fill = total[clean].sum(0) / max(1.0, count[clean].sum())
+    counted = collected_bags(texts, ~held)
+    rows = np.array([n for n in np.flatnonzero(~held) if len(counted[n][0])], np.int64)
+    damped = {n: (ids, 1 + np.log2(times)) for n, (ids, times) in counted.items()}
+    judge = Judge(descend(damped.__getitem__, rows, labels, balance, [0, 1], ORDERS, BITS, epochs=5, rate=0.1, gain=30.0, floor=FLOOR, least=least, decay=0.002, within=True))
+    flat, total, count = judge.model.table.reshape(-1, 2), np.zeros(2), 0
+    for n in np.flatnonzero((labels == 0) & ~held):
+        ids, times = counted[n]
+        total += times @ flat[ids].astype(np.float64)
+        count += int(times.sum())
+    judge.model.fill = total / max(1.0, count)
     used = held if held.any() else ~held
     share = labels.mean() if share is None else share
     odds = np.sqrt(max(1e-6, share) / max(1e-6, 1 - share))  # between the labels' odds and even ones
     own = labels[used]
     weights = np.where(own == 1, odds / max(own.sum(), 1), 1 / max((1 - own).sum(), 1))
-    judge.slopes, judge.shift = line(judge.margins(raw, begins)[used], own, weights * len(own) / weights.sum())
+    judge.slopes, judge.shift = line(collected_margins(texts, judge, used), own, weights * len(own) / weights.sum())
     return judge
 
 
@@ -151,4 +202,5 @@ def score(documents: DataFrame, judge: Judge, id_col: str = "doc_id", text_col:
 def learnt(documents: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Judge:
     """fit() on a sample of the labelled rows that `learn` (over the labels) admits; without it, those whose id's remainder by 5 is not 0."""
     learn = remainder(F.col(id_col), 5) != 0 if learn is None else learn
-    return fit(*sample(documents, labels, F.coalesce(learn, F.lit(False)), per_class, id_col, text_col, label_col))
+    sampled = sample(documents, labels, F.coalesce(learn, F.lit(False)), per_class, id_col, text_col, label_col)
+    return fit(*sampled) if sampled else Judge(None)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rankspark.llm import budgets, language_id, quality, token_output, toxicity
+from rankspark.llm import budgets, language_id, quality, subwords, token_output, toxicity
 from rankspark.llm.subwords import normalised, train
 
 EN = "the of and to in is that for it as was with be by on not he his but at are this have from or".split()
@@ -92,6 +92,48 @@ def test_toxicity_finds_misspellings_in_long_texts(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.Judge(None)).collect()} == {0.0}
 
 
+def test_toxicity_learns_the_end_of_long_texts(spark):
+    """The insult stands only behind 100,000 characters of the toxic training texts; a stretch or a prefix would miss it."""
+    rnd = random.Random(9)
+    words = [w + e for w in EN for e in ("a", "e", "on")]
+    rows = [(i, " ".join(rnd.choices(words, k=60))) for i in range(400)]
+    long_ids = [i for i in range(1000, 1060) if zlib.crc32(str(i).encode()) % 5]
+    rows += [(i, " ".join(rnd.choices(words, k=20_000)) + " zorgblatt vexmurk") for i in long_ids]
+    rows += [(i, " ".join(rnd.choices(words, k=20_000))) for i in range(2000, 2060)]
+    rows += [(3000, " ".join(rnd.choices(words, k=12)) + " zorgblatt vexmurk zorgblatts"), (3001, " ".join(rnd.choices(words, k=15)))]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").selectExpr("*", "'k' as key", "1L as n", "'t' as t", "0 as y", "0.5 as draw").repartition(6)
+    marks = spark.createDataFrame([(i, int(i in set(long_ids))) for i, _ in rows if i < 3000], "doc_id long, toxic int").selectExpr("*", "'k' as key", "1L as n")
+    judge = toxicity.learnt(docs, marks)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, judge).collect()}
+    assert got[3000] >= 0.5 > got[3001]
+    assert sum(got[i] >= 0.5 for i in range(400)) <= 8 and sum(got[i] >= 0.5 for i in long_ids) >= 0.9 * len(long_ids)
+    again = toxicity.learnt(docs.repartition(2), marks.repartition(3))
+    assert (again.model.table == judge.model.table).all() and again.slopes == pytest.approx(judge.slopes)
+
+
+def test_bags_and_scores_equal_naive_loops(spark):
+    """Bags counted by tasks, and a folded model's logits, against loops over n-grams."""
+    texts = ["Nasty nasty  face", "a", "", "über-Straße 12 straße", "long words inside " * 900]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n long, t string").repartition(3)
+    got = toxicity.collected_bags(frame, np.array([True, True, False, True, True]))
+    raw, begins = normalised(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
+    model = subwords.Subwords(toxicity.ORDERS, toxicity.BITS, np.random.default_rng(3).normal(size=(3, 1 << toxicity.BITS, 2)).astype(np.float32), np.array([0.25, -0.5]), [0, 1], True, 1)
+    logits = model.logits(raw, begins)
+    assert sorted(got) == [0, 1, 3, 4]
+    for t in range(len(texts)):
+        one, want, scores = raw[begins[t] : begins[t + 1]], {}, []
+        for k, n in enumerate(toxicity.ORDERS):
+            for at in range(len(one) - n + 1):
+                gram = one[at : at + n]
+                if 0x20 not in gram[1:-1].tolist():
+                    b = int(subwords.buckets(gram.copy(), n, toxicity.BITS)[0])
+                    want[b + (k << toxicity.BITS)] = want.get(b + (k << toxicity.BITS), 0) + 1
+                    scores.append(model.table[k, b].astype(float))
+        if t in got:
+            assert dict(zip(got[t][0].tolist(), got[t][1].tolist(), strict=True)) == want and list(got[t][0]) == sorted(want)
+        assert logits[t] == pytest.approx((np.sum(scores, axis=0) / len(scores) if scores else 0) + model.bias)
+
+
 def test_training_is_deterministic():
     raw, offsets = normalised(np.frombuffer(b"abc abc xyz xyz", np.uint8), np.array([0, 7, 15]))
     a, b = (train(raw, offsets, np.array([0, 1]), ["a", "b"], (2, 3), 10, epochs=2) for _ in range(2))
