@@ -31,15 +31,15 @@ def judged_pairs(queries: DataFrame, documents: DataFrame, task: str, instructio
     return found.where(F.when(F.col("_known").isNull(), lost).otherwise(True)).drop("_known")
 
 
-def evaluate(queries: DataFrame, documents: DataFrame, model: str | object, tasks: list[str] | None = None, k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None, branches: list[str] | None = None, done: DataFrame | None = None) -> DataFrame:
+def evaluate(queries: DataFrame, documents: DataFrame, model: str | object, tasks: list[str] | None = None, k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None, branches: list[str] | None = None, done: DataFrame | None = None, init_options: dict | None = None, options: dict | None = None) -> DataFrame:
     """(task, branch, mean, n): nDCG@k of each task, overall (null branch) and by domain. done (task, query, ndcg), if given,
-    holds earlier results that are not scored again."""
-    return report(per_query(queries, documents, model, tasks, k, dcg_variant, instruction, done), queries, branches)
+    holds earlier results that are not scored again. init_options build a model's class, options go to each of its calls."""
+    return report(per_query(queries, documents, model, tasks, k, dcg_variant, instruction, done, init_options, options), queries, branches)
 
 
-def per_query(queries: DataFrame, documents: DataFrame, model: str | object, tasks: list[str] | None = None, k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None, done: DataFrame | None = None) -> DataFrame:
+def per_query(queries: DataFrame, documents: DataFrame, model: str | object, tasks: list[str] | None = None, k: int = 10, dcg_variant: str = "exponential", instruction: str | None = None, done: DataFrame | None = None, init_options: dict | None = None, options: dict | None = None) -> DataFrame:
     """(task, query, ndcg), null for queries that cannot be scored."""
-    scorer = make_scorer(model)
+    scorer = make_scorer(model, init_options, options)
     parts = []
     for task in tasks or list(TASK_VIEWS):
         todo = queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.portable import portable_hash, sql_hash
 from ..operators import rowsets as B
 from ..sources import matrices as M
 from ..sources import partial as P
@@ -112,3 +113,25 @@ def batch_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     surplus = asked.where("id % 11 = 0").select("batch", (-F.col("id") - 1).alias("id"), F.lit("stray").alias("answer"), F.lit(1).alias("place"))
     answers = came.unionByName(again).unionByName(surplus).orderBy(F.xxhash64("id", "place"))
     return B.reassembled(asked, answers, "batch", "id", "answer", "place")
+
+
+@query(f"""with j as (select l_partkey as query, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as pos,
+  {sql_hash("'e7|' || l_partkey || '|' || l_suppkey")} as score, floor(l_discount * 50 + 0.5)::double as relevance from lineitem),
+r as (select *, row_number() over (partition by query order by score desc, pos) as rk, row_number() over (partition by query order by relevance desc, pos) as irk from j),
+s as (select query, sum(case when rk <= 10 then (pow(2, relevance) - 1) / log2(rk + 1) else 0 end) as dcg, sum(case when irk <= 10 then (pow(2, relevance) - 1) / log2(irk + 1) else 0 end) as ideal from r group by 1),
+d as (select p_brand, case when ideal = 0 then 0 else dcg / ideal end as ndcg from s join part on query = p_partkey)
+select 'full-full' as task, p_brand as branch, round(avg(ndcg), 6) as mean, count(*)::bigint as n from d group by 2 union all select 'full-full', null, round(avg(ndcg), 6), count(*)::bigint from d""")
+def evaluation_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts rank the suppliers of their items, scored by a hash that takes an option, some files of parts a step."""
+    items = load(spark, sf, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount"])
+    listed = items.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", F.floor(F.col("l_discount") * 50 + 0.5).cast("double").alias("gain")))).alias("z"))
+    parts = load(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_brand"]).join(listed, F.col("p_partkey") == F.col("l_partkey"))
+    queries = parts.select(F.col("p_partkey").alias("row_idx"), F.col("p_name").alias("problem"), F.col("p_type").alias("solution"), F.array("p_brand").alias("domains"), F.col("z.l_suppkey").alias("candidates"), F.col("z.gain").alias("relevance_scores"))
+    documents = load(spark, sf, "supplier", ["s_suppkey", "s_name"]).select(F.col("s_suppkey").alias("row_idx"), F.col("s_name").alias("problem"), F.lit("").alias("solution"))
+    folder = shared_folder(spark, "evaluation")
+
+    def hashed(pairs: DataFrame, seed: str) -> DataFrame:
+        return pairs.withColumn("score", portable_hash(seed, F.col("query"), F.col("doc")).cast("double"))
+
+    found = G.evaluate_in_steps(G.written_items(queries, folder, 1000), documents, hashed, folder, files=4, tasks=["full-full"], options={"seed": "e7"})
+    return rounded(found, "mean")

@@ -7,6 +7,7 @@ means that the query cannot be scored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -52,26 +53,26 @@ jaccard_math = _lexical(lexical.overlap, X.math_word_tokens)
 math_structure = _lexical(shared_structure, scan.structure_terms_of)
 
 
-def embedding(encode: Encoder, query_prompt: str = "", doc_prompt: str = "", cache: DataFrame | None = None) -> Scorer:
+def embedding(encode: Encoder, query_prompt: str = "", doc_prompt: str = "", cache: DataFrame | None = None, query_suffix: str = "", doc_suffix: str = "", encode_documents: Encoder | None = None) -> Scorer:
     """Cosine of encoded texts. Each distinct text is encoded once; texts found in cache (side, text, vector) are not encoded.
-    encode runs in Arrow batches on the executors."""
+    encode runs in Arrow batches on the executors; encode_documents, if given, takes the documents' side."""
 
-    def vectors(texts: DataFrame, side: str, prompt: str) -> DataFrame:
+    def vectors(texts: DataFrame, side: str, prompt: str, suffix: str, encode: Encoder) -> DataFrame:
         wanted = texts.distinct()
         have = cache.where(F.col("side") == side).select("text", "vector") if cache is not None else None
         missing = wanted.join(have, "text", "left_anti") if have is not None else wanted
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                found = encode([prompt + t for t in frame["text"]])
+                found = encode([prompt + t + suffix for t in frame["text"]])
                 yield pd.DataFrame({"text": frame["text"], "vector": [np.asarray(v, float).tolist() for v in found]})
 
         fresh = missing.mapInPandas(run, "text string, vector array<double>")
         return fresh.unionByName(wanted.join(have, "text").select("text", F.col("vector").cast("array<double>").alias("vector"))) if have is not None else fresh
 
     def score(pairs: DataFrame) -> DataFrame:
-        q = vectors(pairs.select(F.col("query_text").alias("text")), "query", query_prompt).select(F.col("text").alias("query_text"), F.col("vector").alias("qv"))
-        d = vectors(pairs.select(F.col("doc_text").alias("text")), "document", doc_prompt).select(F.col("text").alias("doc_text"), F.col("vector").alias("dv"))
+        q = vectors(pairs.select(F.col("query_text").alias("text")), "query", query_prompt, query_suffix, encode).select(F.col("text").alias("query_text"), F.col("vector").alias("qv"))
+        d = vectors(pairs.select(F.col("doc_text").alias("text")), "document", doc_prompt, doc_suffix, encode_documents or encode).select(F.col("text").alias("doc_text"), F.col("vector").alias("dv"))
         return pairs.join(q, "query_text").join(d, "doc_text").withColumn("score", cosine(F.col("qv"), F.col("dv"))).drop("qv", "dv")
 
     return score
@@ -104,14 +105,25 @@ def whole_lists(get_scores: Callable[[str, list[str]], list[float] | None]) -> S
     return score
 
 
-def adapt(model: object) -> Scorer:
-    """Anything with encode(texts) or get_scores(query, documents) is a scorer; other objects are refused."""
-    if callable(getattr(model, "get_scores", None)):
-        return whole_lists(model.get_scores)
-    if callable(getattr(model, "encode", None)):
-        return embedding(model.encode)
+#: Fixed values, options of encoders: what stands before and after the texts of each side, and each side's own options.
+ENCODER_OPTIONS = ("query_prompt", "document_prompt", "query_suffix", "document_suffix", "query_encode_kwargs", "document_encode_kwargs")
+
+
+def adapt(model: object, options: dict | None = None) -> Scorer:
+    """Anything with encode(texts) or get_scores(query, documents) is a scorer; other objects are refused. options go to the
+    model with each call, but for ENCODER_OPTIONS, which a model without encode(), or whose lists are scored whole, refuses."""
+    lists, encodes = (callable(getattr(model, name, None)) for name in ("get_scores", "encode"))
+    rest = {name: value for name, value in (options or {}).items() if name not in ENCODER_OPTIONS}
+    own = {name: value for name, value in (options or {}).items() if name in ENCODER_OPTIONS and value}
+    if own and (lists or not encodes):
+        raise ValueError(f"{', '.join(own)}: only a model that encodes takes these")
+    if lists:
+        return whole_lists(partial(model.get_scores, **rest))
+    if encodes:
+        query, document = (partial(model.encode, **rest | own.get(f"{side}_encode_kwargs", {})) for side in ("query", "document"))
+        return embedding(query, own.get("query_prompt", ""), own.get("document_prompt", ""), None, own.get("query_suffix", ""), own.get("document_suffix", ""), document)
     if callable(model):
-        return model
+        return partial(model, **rest)
     raise ValueError("a scorer needs encode() or get_scores(), or must be callable")
 
 
@@ -143,10 +155,17 @@ def averaged_samples(pairs: DataFrame, answers: DataFrame) -> DataFrame:
 REGISTRY: dict[str, Scorer] = {"bm25": bm25, "tf-idf": tf_idf, "jaccard": jaccard, "bm25-math": bm25_math, "tf-idf-math": tf_idf_math, "jaccard-math": jaccard_math, "math-structure": math_structure}
 
 
-def make_scorer(model: str | object) -> Scorer:
-    """A registered name, or any object that adapt() takes."""
+def make_scorer(model: str | object, init_options: dict | None = None, options: dict | None = None) -> Scorer:
+    """A registered name, a class that is built with init_options, or any object that adapt() takes, which gets options with
+    each call. Options that nothing would take raise: a name and a built object have no init_options, a name has none at all."""
     if isinstance(model, str):
         if model not in REGISTRY:
             raise ValueError(f"unknown scorer {model!r}; known: {', '.join(REGISTRY)}")
+        if init_options or options:
+            raise ValueError(f"scorer {model!r} takes no options")
         return REGISTRY[model]
-    return adapt(model)
+    if isinstance(model, type):
+        return adapt(model(**(init_options or {})), options)
+    if init_options:
+        raise ValueError("only a class is built with init_options")
+    return adapt(model, options)

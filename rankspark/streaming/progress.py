@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..evaluation import per_query, report
 
 def written_items(items: DataFrame, folder: str, every: int) -> str:
     """items as files of at most `every` rows."""
@@ -44,3 +45,26 @@ def whole(spark: SparkSession, folder: str) -> DataFrame:
     found = partials(spark, folder)
     last = found.agg(F.max("step")).first()[0]
     return found.where(F.col("step") == F.lit(last)).drop("step")
+
+
+def evaluate_in_steps(items: str, documents: DataFrame, model: str | object, folder: str, branches: list[str] | None = None, files: int = 1, on_progress: Callable[[int, DataFrame], None] | None = None, **how) -> DataFrame:
+    """evaluate() over written_items() of queries, so many files a step. A step's scores are written to folder/scores/step=n
+    before on_progress gets its number and the report so far; a run with the same folder goes on at the step that was lost, whose
+    scores are written anew. Gives the report of all steps; without queries it has no row. how: per_query()'s other options."""
+    spark = documents.sparkSession
+    kinds = spark.read.parquet(items).schema
+    scores = spark.createDataFrame([], "task string, query long, ndcg double, step int")
+
+    def so_far() -> DataFrame:
+        return report(spark.read.schema(scores.schema).parquet(f"{folder}/scores").drop("step"), spark.read.parquet(items), branches)
+
+    def write(batch: DataFrame, step: int) -> None:
+        found = per_query(batch, documents, model, **how).select("task", F.col("query").cast("long").alias("query"), "ndcg")
+        found.write.mode("overwrite").parquet(f"{folder}/scores/step={step}")
+        if on_progress:
+            on_progress(step, so_far())
+
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files).parquet(items)
+    source.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/steps").trigger(availableNow=True).start().awaitTermination()
+    scores.drop("step").write.mode("overwrite").parquet(f"{folder}/scores/step=-1")
+    return so_far()

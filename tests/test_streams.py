@@ -139,3 +139,54 @@ def test_answers_are_reassembled(spark):
     answers = spark.createDataFrame([(1, 3, "late", 2), (1, 3, "c", 1), (1, 1, "a", 1), (1, 9, "?", 1), (3, 1, "?", 1)], "batch int, id int, answer string, place int")
     got = {r["batch"]: tuple(r)[1:] for r in B.reassembled(asked, answers, "batch", "id", "answer", "place").collect()}
     assert got == {1: (3, 2, 1, 1, 1, "a,,c"), 2: (1, 0, 1, 0, 0, ""), 3: (0, 0, 0, 0, 1, "")}
+
+
+def test_evaluation_in_steps_equals_the_whole_and_goes_on_after_a_loss(spark, tmp_path):
+    from rankspark.evaluation import evaluate
+
+    rows = [(q, f"red {q}", "s", ["x"] if q % 2 else ["y", "x"], [0, 1, 2], [float(q % 3), 1.0, 0.0]) for q in range(7)]
+    queries = spark.createDataFrame(rows, "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>").coalesce(1)
+    docs = spark.createDataFrame([(0, "red fox runs", "a"), (1, "blue 3 sky", "b"), (2, "green 5 red 1 tea", "c")], "row_idx long, problem string, solution string")
+    items, seen, fail = G.written_items(queries, str(tmp_path), 2), [], [2]
+
+    def told(step, report):
+        if step in fail:
+            fail.remove(step)
+            raise RuntimeError("lost")
+        seen.append((step, {(r.branch, r.n) for r in report.where("branch is null").collect()}))
+
+    def run():
+        return G.evaluate_in_steps(items, docs, "bm25", str(tmp_path), ["x", "y", "z"], on_progress=told, tasks=["full-full"])
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    got = {(r.branch, round(r["mean"], 9), r.n) for r in run().collect()}
+    assert got == {(r.branch, round(r["mean"], 9), r.n) for r in evaluate(queries, docs, "bm25", ["full-full"], branches=["x", "y", "z"]).collect()}
+    assert [s for s, _ in seen] == [0, 1, 2, 3] and [n for _, found in seen for _, n in found] == [2, 4, 6, 7]
+    empty = G.evaluate_in_steps(G.written_items(queries.limit(0), str(tmp_path / "none"), 2), docs, "bm25", str(tmp_path / "none"), tasks=["full-full"])
+    assert empty.collect() == []
+
+
+def test_options_reach_the_model_and_affixes_only_encoders(spark):
+    from rankspark import scorers
+
+    class Coder:
+        def __init__(self, word):
+            self.word = word
+
+        def encode(self, texts, plus=0):
+            return [[1.0 + t.count(self.word), plus + t.count("!")] for t in texts]
+
+    class Lists:
+        def get_scores(self, query, documents, times=1):
+            return [times * len(d) for d in documents]
+
+    pairs = spark.createDataFrame([(0, 0, 5, "red", "red red"), (0, 1, 6, "red", "sky")], "query long, pos int, doc long, query_text string, doc_text string")
+    plain = {r.pos: r.score for r in scorers.make_scorer(Coder, {"word": "red"}, {"plus": 1})(pairs).collect()}
+    assert plain[0] == pytest.approx((2 * 3 + 1) / (5**0.5 * 10**0.5)) and plain[1] == pytest.approx((2 + 1) / (5**0.5 * 2**0.5))
+    marked = {r.pos: r.score for r in scorers.make_scorer(Coder("red"), None, {"query_suffix": "!!", "document_prompt": "red !", "document_encode_kwargs": {"plus": 1}})(pairs).collect()}
+    assert marked[1] == pytest.approx((2 * 2 + 2 * 2) / (8**0.5 * 8**0.5))
+    assert [r.score for r in scorers.make_scorer(Lists(), None, {"times": 3})(pairs).orderBy("pos").collect()] == [21.0, 9.0]
+    for model, init, options in (("bm25", {"a": 1}, None), ("bm25", None, {"k1": 2}), (Coder("x"), {"word": "y"}, None), (Lists(), None, {"query_prompt": "q"}), (lambda pairs: pairs, None, {"document_suffix": "d"})):
+        with pytest.raises(ValueError):
+            scorers.make_scorer(model, init, options)
