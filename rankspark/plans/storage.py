@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import portable_hash, sql_hash
+from ..operators import rewrites as W
 from ..operators import rowsets as B
 from ..sources import matrices as M
 from ..sources import partial as P
@@ -135,3 +136,19 @@ def evaluation_steps(spark: SparkSession, sf: str) -> DataFrame:
 
     found = G.evaluate_in_steps(G.written_items(queries, folder, 1000), documents, hashed, folder, files=4, tasks=["full-full"], options={"seed": "e7"})
     return rounded(found, "mean")
+
+
+@query("select text, 'Instruct: find' || chr(10) || 'Query: ' || upper(text) as first, 'Instruct: find' || chr(10) || 'Query: ' || reverse(text) as second, n from (select p_name as text, count(*)::bigint as n from part where p_name is not null group by 1)")
+def query_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's name rewritten in two ways, once each, into a cache that is filled in batches; half of the names are there
+    from an earlier run. The rewrites are met under an instruction."""
+    names = load(spark, sf, "part", ["p_name"]).where("p_name is not null").select(F.col("p_name").alias("text"))
+    folder = shared_folder(spark, "rewrites")
+
+    def both(texts: list[str]) -> list[list[str]]:
+        return [[t.upper(), t[::-1]] for t in texts]
+
+    W.fill_cache(names.where(F.length("text") % 2 == 0), folder, both, 1)
+    cache = W.fill_cache(names, folder, both, 3)
+    found = W.samples_of(names, cache, strict=True).withColumn("r", W.reinstructed(F.col("rewrites"), "find"))
+    return found.join(names.groupBy("text").agg(F.count("*").alias("n")), "text").select("text", F.get("r", F.lit(0)).alias("first"), F.get("r", F.lit(1)).alias("second"), "n")
