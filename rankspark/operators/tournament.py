@@ -1,15 +1,18 @@
 """Matches, points, Swiss pairing and Bradley-Terry ratings.
 
-Pairing and fitting are sequential within a target, so they run as one grouped pandas call a target; a target has a bounded
-list of candidates. Matches are summed to (target, a, b) before they are grouped.
+Pairing and fitting are sequential within a target, so a target is one row of arrays, and a task is called on batches of such
+rows; a target has a bounded list of candidates. Matches are summed to (target, a, b) before they are grouped.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +36,45 @@ def unplayed(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return pairs.join(matches, ["target", "a", "b"], "left_anti")
 
 
+def _paired(names: list, left: list, right: list) -> list[tuple]:
+    """Each of the names in order with the first later one that is free and not met yet."""
+    met, free, out = set(zip(left, right, strict=True)), deque(dict.fromkeys(names)), []
+    while free:
+        p, passed = free.popleft(), []
+        while free:
+            q = free.popleft()
+            couple = (min(p, q), max(p, q))
+            if couple not in met:
+                out.append(couple)
+                break
+            passed.append(q)
+        free.extendleft(reversed(passed))
+    return out
+
+
 def swiss_pairs(standings: DataFrame, played: DataFrame, seed: str, player_type: str = "string") -> DataFrame:
     """standings (target, player, points) and played (target, a, b): the next round's pairs (target, a, b). Players in order of
-    points, ties by hash; each takes the first later one that is free and not met yet."""
-
-    def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        target = key[0]
-        shuffle = {p: hashlib.md5(f"{seed}|{target}|{p}".encode()).hexdigest() for p in left["player"]}
-        order = sorted(left.itertuples(), key=lambda r: (r.points, shuffle[r.player]))
-        names = [r.player for r in order]
-        met = set(zip(right["a"], right["b"], strict=True))
-        used, out = set(), []
-        for i, p in enumerate(names):
-            if p in used:
-                continue
-            for q in names[i + 1 :]:
-                couple = (min(p, q), max(p, q))
-                if q not in used and couple not in met:
-                    out.append((target, *couple))
-                    used |= {p, q}
-                    break
-        return pd.DataFrame(out, columns=["target", "a", "b"])
+    points, ties by hash; each takes the first later one that is free and not met yet. A target is one row of arrays."""
+    place = F.struct("points", F.md5(F.concat_ws("|", F.lit(seed), F.col("target").cast("string"), F.col("player").cast("string"))).alias("h"), "player")
+    rows = standings.select("target", place.alias("s"), F.lit(None).cast(f"struct<a:{player_type},b:{player_type}>").alias("m"))
+    rows = rows.unionByName(played.select("target", F.struct(F.col("a").cast(player_type).alias("a"), F.col("b").cast(player_type).alias("b")).alias("m")), allowMissingColumns=True)
+    lists = rows.groupBy("target").agg(F.array_sort(F.collect_list("s"))["player"].alias("names"), F.collect_list("m").alias("met"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, left, right = (batch.column(i) for i in (1, 2, 3))
+            held = [pc.list_flatten(c).to_pylist() for c in (names, left, right)]
+            ends = [[0, *pc.cumulative_sum(pc.list_value_length(c)).to_pylist()] for c in (names, left, right)]
+            owner, pairs = [], []
+            for i in range(batch.num_rows):
+                found = _paired(*[h[e[i] : e[i + 1]] for h, e in zip(held, ends, strict=True)])
+                owner += [i] * len(found)
+                pairs += found
+            sides = [pa.array([c[k] for c in pairs], names.type.value_type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *sides], names=["target", "a", "b"])
 
     kind = dict(standings.dtypes)["target"]
-    met_before = played.select(F.col("target").alias("_target"), F.col("a").alias("a"), F.col("b").alias("b"))
-    return standings.groupBy("target").cogroup(met_before.groupBy("_target")).applyInPandas(pair, f"target {kind}, a {player_type}, b {player_type}")
+    return lists.select("target", "names", F.col("met.a").alias("a"), F.col("met.b").alias("b")).mapInArrow(run, f"target {kind}, a {player_type}, b {player_type}")
 
 
 #: Players whose square matrix (2 MB) is solved at once.

@@ -1,6 +1,7 @@
 """Faults that showed on larger tables, each on the least input that has it."""
 
 import oracle
+from rankspark.operators import tournament as T
 from rankspark.plans import registry
 
 
@@ -10,3 +11,15 @@ def test_grid_means_between_two_thousandths(spark):
     con = oracle.duck(folder)
     con.execute("set threads = 1")
     assert oracle.differences(spark, con, folder, "pivot_grid", registry.QUERIES["pivot_grid"], registry.ORACLES["pivot_grid"]) == ""
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_swiss_pairs_call_no_python_for_each_target(spark):
+    standings = spark.createDataFrame([(t, p, n) for t in range(50) for n, p in enumerate("abcd")], "target long, player string, points long")
+    pairs = T.swiss_pairs(standings, spark.createDataFrame([(0, "a", "b")], "target long, a string, b string"), "1")
+    assert "CoGroup" not in _plan(pairs)
+    found = [tuple(r) for r in pairs.where("target = 0").collect()]
+    assert sorted(found) == [(0, "a", "c"), (0, "b", "d")] and pairs.count() == 100
