@@ -10,7 +10,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -134,20 +133,75 @@ def fit_bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b:
     return w
 
 
+#: Numbers in the square matrices that are solved at once (8 MB).
+SOLVED_CELLS = 1 << 20
+
+
+def _fit_alike(owner: np.ndarray, a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, count: int, width: int, c: float) -> np.ndarray:
+    """fit_bradley_terry() of `count` targets of at most `width` players at once, without bias; a and b are places within a
+    target. Places without a player rate 0."""
+    at_a, at_b, size = owner * width + a, owner * width + b, count * width
+    cells = np.concatenate([p * width + q for p, q in ((at_a, a), (at_b, b), (at_a, b), (at_b, a))])
+    w, total, diagonal = np.zeros(size), wins_a + wins_b, np.arange(width)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(w[at_b] - w[at_a]))
+        rest, curve = wins_a - total * p, c * total * p * (1 - p)
+        x = np.bincount(cells, np.concatenate((curve, curve, -curve, -curve)), size * width).reshape(count, width, width)
+        x[:, diagonal, diagonal] += 1
+        goal = w - c * (np.bincount(at_a, rest, size) - np.bincount(at_b, rest, size))
+        step = np.linalg.solve(x, goal.reshape(count, width, 1)).ravel()
+        w -= step
+        if np.abs(step).max(initial=0) < 1e-10:
+            break
+    return w.reshape(count, width)
+
+
+def fit_targets(owner: np.ndarray, a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, sizes: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """Ratings of all targets' players, target after target. owner: the target of a match, in order; a and b: places among its
+    sizes[owner] players. Targets of about one size are solved together."""
+    starts, ends = np.searchsorted(owner, np.arange(len(sizes))), np.searchsorted(owner, np.arange(len(sizes)), "right")
+    before, order, out, at = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable"), np.zeros(int(sizes.sum())), 0
+    while at < len(order):
+        width = int(sizes[order[at]])
+        some = order[at : at + max(1, SOLVED_CELLS // max(width * width, 1))]
+        at += len(some)
+        rows = np.concatenate([np.arange(starts[t], ends[t]) for t in some])
+        nth = np.repeat(np.arange(len(some)), ends[some] - starts[some])
+        if width > FEW_PLAYERS:
+            ratings = [fit_bradley_terry(*[x[starts[t] : ends[t]] for x in (a, b, wins_a, wins_b)], int(sizes[t]), c) for t in some]
+        else:
+            ratings = _fit_alike(nth, a[rows], b[rows], wins_a[rows], wins_b[rows], len(some), width, c)
+        for t, w in zip(some, ratings, strict=True):
+            out[before[t] : before[t] + sizes[t]] = w[: sizes[t]]
+    return out
+
+
 def bradley_terry(matches: DataFrame, c: float = 1.0, tie: str = "tie") -> DataFrame:
-    """matches (target, a, b, winner) to (target, player, rating); a tie is half a win for each side."""
+    """matches (target, a, b, winner) to (target, player, rating); a tie is half a win for each side. A target is one row of
+    arrays; a task fits a batch of targets at once."""
     half = F.when(F.col("winner") == tie, 0.5)
     sums = matches.groupBy("target", "a", "b").agg(F.sum(F.coalesce(half, F.when(F.col("winner") == F.col("a"), 1.0).otherwise(0.0))).alias("wa"), F.sum(F.coalesce(half, F.when(F.col("winner") == F.col("b"), 1.0).otherwise(0.0))).alias("wb"))
+    each = F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "wa", "wb")
+    lists = sums.groupBy("target").agg(F.array_sort(F.collect_list(each)).alias("m"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        names = np.unique(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]).astype(str))
-        place = {p: i for i, p in enumerate(names)}
-        w = fit_bradley_terry(pdf["a"].map(place).to_numpy(), pdf["b"].map(place).to_numpy(), pdf["wa"].to_numpy(), pdf["wb"].to_numpy(), len(names), c)
-        return pd.DataFrame({"target": pdf["target"].iloc[0], "player": names, "rating": w})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())
+            left, right, wins_a, wins_b = (pc.list_flatten(batch.column(i)) for i in range(1, 5))
+            coded = pa.concat_arrays([left, right]).dictionary_encode()
+            inorder = np.asarray(pc.sort_indices(coded.dictionary))
+            rank = np.empty(len(inorder), np.int64)
+            rank[inorder] = np.arange(len(inorder))
+            players, place = np.unique(np.concatenate((owner, owner)) * max(len(rank), 1) + rank[np.asarray(coded.indices)], return_inverse=True)
+            whose = players // max(len(rank), 1)
+            sizes = np.bincount(whose, minlength=batch.num_rows)
+            place = place - (np.cumsum(sizes) - sizes)[np.concatenate((owner, owner))]
+            ratings = fit_targets(owner, place[: len(owner)], place[len(owner) :], wins_a.to_numpy(), wins_b.to_numpy(), sizes, c)
+            names = coded.dictionary.take(pa.array(inorder[players % max(len(rank), 1)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), names, pa.array(ratings)], names=["target", "player", "rating"])
 
     kind = dict(matches.dtypes)["target"]
-    return sums.withColumns({"a": F.col("a").cast("string"), "b": F.col("b").cast("string")}).groupBy("target").applyInPandas(fit, f"target {kind}, player string, rating double")
+    return lists.select("target", *[F.col(f"m.{x}").alias(x) for x in ("a", "b", "wa", "wb")]).mapInArrow(run, f"target {kind}, player string, rating double")
 
 
 def min_max(rows: DataFrame, group: str, value: str, scale: float = 1.0, out: str = "relevance") -> DataFrame:

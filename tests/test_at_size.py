@@ -1,5 +1,7 @@
 """Faults that showed on larger tables, each on the least input that has it."""
 
+import numpy as np
+
 import oracle
 from rankspark.operators import tournament as T
 from rankspark.plans import registry
@@ -23,3 +25,20 @@ def test_swiss_pairs_call_no_python_for_each_target(spark):
     assert "CoGroup" not in _plan(pairs)
     found = [tuple(r) for r in pairs.where("target = 0").collect()]
     assert sorted(found) == [(0, "a", "c"), (0, "b", "d")] and pairs.count() == 100
+
+
+def test_ratings_call_no_python_for_each_target(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, f"p{a}", f"p{b}", f"p{(a, b, 'tie')[rng.integers(3)]}") for t, n in enumerate([2, 3, 9, 40, 9, 2] * 5) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6 or b == a + 1]
+    rows = [(t, a, b, "tie" if w == "ptie" else w) for t, a, b, w in rows]
+    rated = T.bradley_terry(spark.createDataFrame(rows, "target long, a string, b string, winner string"))
+    assert "FlatMapGroups" not in _plan(rated)
+    got = {(r.target, r.player): r.rating for r in rated.collect()}
+    for t in range(30):
+        own = [r[1:] for r in rows if r[0] == t]
+        names = sorted({p for r in own for p in r[:2]})
+        a, b = (np.array([names.index(r[k]) for r in own]) for k in (0, 1))
+        wins = [np.array([0.5 if r[2] == "tie" else float(r[2] == r[k]) for r in own]) for k in (0, 1)]
+        want = T.fit_bradley_terry(a, b, *wins, len(names))
+        assert np.allclose([got.pop((t, p)) for p in names], want, atol=1e-9)
+    assert not got
