@@ -3,6 +3,7 @@
 import numpy as np
 
 import oracle
+from rankspark.operators import statistics as A
 from rankspark.operators import tournament as T
 from rankspark.plans import registry
 
@@ -42,3 +43,18 @@ def test_ratings_call_no_python_for_each_target(spark):
         want = T.fit_bradley_terry(a, b, *wins, len(names))
         assert np.allclose([got.pop((t, p)) for p in names], want, atol=1e-9)
     assert not got
+
+
+def test_pair_statistics_call_no_python_for_each_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, *(None if rng.random() < 0.1 else float(rng.integers(6)) for _ in range(2))) for g in range(40) for i in range(g % 7 + 1)]
+    found = A.pair_statistics(spark.createDataFrame(rows, "g long, i long, a double, b double"), "g", "i", "a", "b")
+    assert "FlatMapGroups" not in _plan(found)
+    got = {r.g: (r.inversions, r.pairs) for r in found.collect()}
+    want = {}
+    for g in range(40):
+        own = [r[2:] for r in rows if r[0] == g]
+        if len(own) > 1:
+            pairs = [(x, y) for i, x in enumerate(own) for y in own[i + 1 :]]
+            want[g] = (sum(None not in x + y and (x[0] - y[0]) * (x[1] - y[1]) < 0 for x, y in pairs), len(pairs))
+    assert got == want
