@@ -1,5 +1,7 @@
 """Faults that showed on larger tables, each on the least input that has it."""
 
+import hashlib
+
 import numpy as np
 
 import oracle
@@ -58,3 +60,16 @@ def test_pair_statistics_call_no_python_for_each_group(spark):
             pairs = [(x, y) for i, x in enumerate(own) for y in own[i + 1 :]]
             want[g] = (sum(None not in x + y and (x[0] - y[0]) * (x[1] - y[1]) < 0 for x, y in pairs), len(pairs))
     assert got == want
+
+
+def test_bootstrap_shuffles_no_draw(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BITS", 3)  # more blocks than one
+    values = spark.createDataFrame([("all", i, float(i * i % 17)) for i in range(50)] + [("b", i, float(i)) for i in range(9)], "g string, idx long, v double")
+    found = A.bootstrap(values, "g", "v", {"all": None, "b": 4}, 100, "s")
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert any("block" in line and "broadcast" in line for line in joins)
+    got = {r.g: (r.mean, r.lo, r.hi) for r in found.collect()}
+    for g, n, k in (("all", 50, 50), ("b", 9, 4)):
+        held = np.array([i * i % 17 if g == "all" else i for i in range(n)], float)
+        means = [held[[int(hashlib.md5(f"s|{g}|{rep}|{draw}".encode()).hexdigest()[:8], 16) % n for draw in range(k)]].mean() for rep in range(100)]
+        assert np.allclose(got[g], (held.mean(), *np.quantile(means, (0.025, 0.975))))
