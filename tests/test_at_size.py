@@ -6,6 +6,7 @@ import numpy as np
 
 import oracle
 from rankspark.operators import statistics as A
+from rankspark.operators import taxonomy as X
 from rankspark.operators import tournament as T
 from rankspark.plans import registry
 
@@ -73,3 +74,20 @@ def test_bootstrap_shuffles_no_draw(spark, monkeypatch):
         held = np.array([i * i % 17 if g == "all" else i for i in range(n)], float)
         means = [held[[int(hashlib.md5(f"s|{g}|{rep}|{draw}".encode()).hexdigest()[:8], 16) % n for draw in range(k)]].mean() for rep in range(100)]
         assert np.allclose(got[g], (held.mean(), *np.quantile(means, (0.025, 0.975))))
+
+
+def test_copies_of_sets_meet_once(spark, tmp_path):
+    tags = [["x", "y"], ["y", "x", "x"], [], None, ["y"], ["z", None], ["x"], ["x", "y"]] * 5
+    sets = spark.createDataFrame(list(enumerate(tags)), "id long, tags array<string>")
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else 0.3 if "x" in (a, b) else -0.2) for a in "xy" for b in "xy"], "a string, b string, sim double")
+    asked = sets.where("id % 3 = 0")
+    found = X.set_pair_summaries(asked, sets, sims, "id", "tags", str(tmp_path), block=2)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 5
+    got = {r.id: tuple(r)[1:] for r in found.collect()}
+    want = {}
+    for r in X.set_pairs(asked, sets, sims, "id", "tags").collect():
+        want.setdefault(r.i, []).append((r.bma, r.jac))
+    assert got.keys() == want.keys()
+    for i, pairs in want.items():
+        bma, jac = np.array(pairs).T
+        assert np.allclose(got[i], (len(pairs), bma.mean(), bma.max(), jac.mean(), (jac == 1).sum()))
