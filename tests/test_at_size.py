@@ -1,11 +1,14 @@
 """Faults that showed on larger tables, each on the least input that has it."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 
 import oracle
+from rankspark.functions import scan
 from rankspark.operators import statistics as A
+from rankspark.operators import structure as S
 from rankspark.operators import taxonomy as X
 from rankspark.operators import tournament as T
 from rankspark.plans import registry
@@ -91,3 +94,17 @@ def test_copies_of_sets_meet_once(spark, tmp_path):
     for i, pairs in want.items():
         bma, jac = np.array(pairs).T
         assert np.allclose(got[i], (len(pairs), bma.mean(), bma.max(), jac.mean(), (jac == 1).sum()))
+
+
+def test_search_makes_no_row_for_each_shared_path(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    texts = spark.createDataFrame([(i, " ".join(["$a+b$"] * (i + 1) + ["$c^d$"] * (i % 3))) for i in range(30)], "id long, text string")
+    S.write_index(texts, str(tmp_path))
+    found = S.search(texts, str(tmp_path), 3)
+    assert "MapInArrow" in _plan(found)
+    counts = {i: Counter(t for t in scan.structure_terms(text) if t[0] == "s") for i, text in texts.collect()}
+    want = set()
+    for q, a in counts.items():
+        scores = sorted((-2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), i) for i, b in counts.items())
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(scores[:3])}
+    assert {tuple(r) for r in found.collect()} == want
