@@ -147,8 +147,13 @@ def core_idea(answer: Column) -> Column:
 
 def chunks(tokens: Column, size: int) -> Column:
     """Fixed-size token chunks; an empty text gives one empty chunk."""
-    n = F.greatest(F.ceil(F.size(tokens) / size).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, size))
+
+    def cut(held: Column) -> Column:
+        n = F.greatest(F.ceil(F.size(held) / size).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(held, i * size + 1, size))
+
+    # bound by a lambda, or a text would be split anew for each of its chunks
+    return F.transform(F.array(tokens), cut)[0]
 
 
 def truncated(text: Column, tokens: int) -> Column:

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 
 import oracle
+from pyspark.sql import functions as F
 from rankspark.functions import scan
+from rankspark.functions import text as N
 from rankspark.operators import statistics as A
 from rankspark.operators import structure as S
 from rankspark.operators import taxonomy as X
@@ -108,3 +110,11 @@ def test_search_makes_no_row_for_each_shared_path(spark, tmp_path, monkeypatch):
         scores = sorted((-2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), i) for i, b in counts.items())
         want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(scores[:3])}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_chunks_split_a_text_once(spark):
+    text = spark.createDataFrame([(" ".join(map(str, range(10))),), ("",)], "t string")
+    found = text.select(N.chunks(F.split("t", " "), 4).alias("c"))
+    plan = _plan(found)
+    assert plan.count("split(") == 1
+    assert [r.c for r in found.collect()] == [[["0", "1", "2", "3"], ["4", "5", "6", "7"], ["8", "9"]], [[""]]]
