@@ -138,12 +138,15 @@ def listwise_scores(groups: DataFrame, answers: DataFrame) -> DataFrame:
     """listwise_groups() and answers (query, epoch, group, answer text) to (query, pos, score): scores over ten, averaged over the
     epochs. A group whose answer is missing or can't be parsed counts as 0 for each of its documents in that epoch; a document that
     a parsed answer leaves out has no score in that epoch; 0 where it has none at all."""
-    parsed = answers.select("query", "epoch", "group", scan.answer_scores_of(F.col("answer")).alias("found"))
-    # places given twice count twice, and places beyond the group meet no document
-    given = parsed.select("query", "epoch", "group", F.explode("found").alias("f")).select("query", "epoch", "group", "f.place", (F.col("f.score") / 10).alias("s"))
-    failed = groups.join(parsed.where("found is not null").select("query", "epoch", "group"), ["query", "epoch", "group"], "left_anti").withColumn("s", F.lit(0.0))
-    scored = groups.join(given, ["query", "epoch", "group", "place"], "left").select("query", "pos", "s")
-    return scored.unionByName(failed.select("query", "pos", "s")).groupBy("query", "pos").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"))
+    keys = ["query", "epoch", "group"]
+    parsed = answers.select(*keys, scan.answer_scores_of(F.col("answer")).alias("found"))
+    # a group meets its entries as one row; places given twice count twice, and places beyond the group meet no document
+    given = parsed.groupBy(*keys).agg(F.when(F.count("found") > 0, F.flatten(F.collect_list("found"))).alias("found"))
+    met = groups.select(*keys, "place", "pos").join(given, keys, "left")
+    own = F.transform(F.filter("found", lambda f: f["place"] == F.col("place")), lambda f: f["score"] / 10)
+    scores = F.when(F.col("found").isNull(), F.array(F.lit(0.0))).otherwise(own)
+    sums = met.select("query", "pos", scores.alias("s")).groupBy("query", "pos").agg(F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)).alias("s"), F.sum(F.size("s")).alias("n"))
+    return sums.select("query", "pos", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("score"))
 
 
 def averaged_samples(pairs: DataFrame, answers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 
 import oracle
 from pyspark.sql import functions as F
+from rankspark import scorers
 from rankspark.functions import scan
 from rankspark.functions import text as N
 from rankspark.operators import statistics as A
@@ -118,3 +119,11 @@ def test_chunks_split_a_text_once(spark):
     plan = _plan(found)
     assert plan.count("split(") == 1
     assert [r.c for r in found.collect()] == [[["0", "1", "2", "3"], ["4", "5", "6", "7"], ["8", "9"]], [[""]]]
+
+
+def test_listwise_answers_are_met_by_one_join(spark):
+    groups = spark.createDataFrame([(1, p, 0, p // 2, p % 2 + 1) for p in range(4)], "query int, pos int, epoch int, group int, place int")
+    answers = spark.createDataFrame([(1, 0, 0, '{"[1]": 8, "[1] ": 6}'), (1, 0, 1, "none")], "query int, epoch int, group int, answer string")
+    found = scorers.listwise_scores(groups, answers)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {r.pos: round(r.score, 9) for r in found.collect()} == {0: 0.7, 1: 0.0, 2: 0.0, 3: 0.0}
