@@ -16,13 +16,14 @@ from .common import query, rounded
 _TOK = "list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> '')"
 
 
-def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, sf: str, dealt: bool = True) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as queries; every document is a candidate of the item that a hash of its id names. Texts are
-    dealt by list before they are split."""
+    dealt by list before they are split, or stay where they are read."""
     items = load(spark, sf, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("query"), X.whitespace_tokens(F.col("text")).alias("tokens"))
     n = items.count()
     docs = load(spark, sf, "documents", ["doc_id", "text"])
-    lists = docs.select(F.pmod(portable_hash("list", F.col("doc_id")), F.lit(n)).cast("int").alias("query"), F.col("doc_id").alias("doc"), "text").repartition("query")
+    lists = docs.select(F.pmod(portable_hash("list", F.col("doc_id")), F.lit(n)).cast("int").alias("query"), F.col("doc_id").alias("doc"), "text")
+    lists = lists.repartition("query") if dealt else lists
     return items, lists.select("query", "doc", X.whitespace_tokens(F.col("text")).alias("tokens"))
 
 
@@ -68,10 +69,11 @@ def jaccard_empty_conventions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {_LISTS} select tf.query, tf.doc, round(sum(ln(1 + tf)::double * ln(1 + times)::double), 6) as score from tf join qt on tf.query = qt.query and tf.token = qt.token group by 1, 2""")
 def sparse_dot_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse vectors with weights ln(1 + tf)."""
-    items, docs = _lists(spark, sf)
+    """Sparse vectors with weights ln(1 + tf). Tokens that no query has are left out where texts are read, before any is counted."""
+    items, docs = _lists(spark, sf, dealt=False)
     q = items.select("query", F.explode("tokens").alias("t")).groupBy("query", "t").agg(F.log1p(F.count("*")).alias("w"))
-    d = docs.select("query", "doc", F.explode("tokens").alias("t")).groupBy("query", "doc", "t").agg(F.log1p(F.count("*")).alias("w"))
+    met = docs.select("query", "doc", F.explode_outer("tokens").alias("t")).join(F.broadcast(q.select("query", "t")), ["query", "t"], "left_semi")  # the queries' terms
+    d = met.groupBy("query", "doc", "t").agg(F.log1p(F.count("*")).alias("w"))
     key = F.struct("query", "t").alias("term")
     return rounded(sparse_dot(q.select("query", key, "w"), d.select("doc", key, "w")), "score")
 

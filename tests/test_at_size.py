@@ -127,3 +127,8 @@ def test_listwise_answers_are_met_by_one_join(spark):
     found = scorers.listwise_scores(groups, answers)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert {r.pos: round(r.score, 9) for r in found.collect()} == {0: 0.7, 1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_sparse_dot_counts_no_token_that_no_query_has(spark):
+    plan = _plan(registry.QUERIES["sparse_dot_rerank"](spark, "/root/testdata/sf0.001"))
+    assert "LeftSemi" in plan and "REPARTITION_BY_COL" not in plan
