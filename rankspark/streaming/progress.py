@@ -15,12 +15,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..evaluation import per_query, report
 
+#: Steps that a run has at most: a step has a cost of its own (a plan, its tasks' reports, a meeting with all documents), so that steps which
+#: grew with the items would cost their square.
+STEPS = 16
+
+
 def written_items(items: DataFrame, folder: str, every: int) -> str:
     """items as files of at most `every` rows."""
     items.write.option("maxRecordsPerFile", every).parquet(f"{folder}/items")
     return f"{folder}/items"
 
 
+def files_a_step(spark: SparkSession, items: str, files: int) -> int:
+    """`files`, or more where written_items() would take over STEPS steps. The same for every run over the same items."""
+    return max(files, -(-len(spark.read.parquet(items).inputFiles()) // STEPS))
+
+
 def run_with_progress(spark: SparkSession, items: str, aggregate: Callable[[DataFrame], DataFrame], folder: str, files: int = 1, on_progress: Callable[[int], None] | None = None) -> StreamingQuery:
     """Aggregates written_items() step by step into folder/partials/step=n, and tells on_progress each step that is written. aggregate
     may score its rows before it groups them. A run with the same folder goes on where the last one stopped."""
@@ -48,7 +58,7 @@ def whole(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evaluate_in_steps(items: str, documents: DataFrame, model: str | object, folder: str, branches: list[str] | None = None, files: int = 1, on_progress: Callable[[int, DataFrame], None] | None = None, **how) -> DataFrame:
-    """evaluate() over written_items() of queries, so many files a step. A step's scores are written to folder/scores/step=n
+    """evaluate() over written_items() of queries, so many files a step, or more by files_a_step(). A step's scores are written to folder/scores/step=n
     before on_progress gets its number and the report so far; a run with the same folder goes on at the step that was lost, whose
     scores are written anew. Gives the report of all steps; without queries it has no row. how: per_query()'s other options."""
     spark = documents.sparkSession
@@ -64,7 +74,7 @@ def evaluate_in_steps(items: str, documents: DataFrame, model: str | object, fol
         if on_progress:
             on_progress(step, so_far())
 
-    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files).parquet(items)
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files_a_step(spark, items, files)).parquet(items)
     source.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/steps").trigger(availableNow=True).start().awaitTermination()
     scores.drop("step").write.mode("overwrite").parquet(f"{folder}/scores/step=-1")
     return so_far()

@@ -190,3 +190,17 @@ def test_options_reach_the_model_and_affixes_only_encoders(spark):
     for model, init, options in (("bm25", {"a": 1}, None), ("bm25", None, {"k1": 2}), (Coder("x"), {"word": "y"}, None), (Lists(), None, {"query_prompt": "q"}), (lambda pairs: pairs, None, {"document_suffix": "d"})):
         with pytest.raises(ValueError):
             scorers.make_scorer(model, init, options)
+
+
+def test_more_items_take_larger_steps_of_evaluation(spark, tmp_path, monkeypatch):
+    from rankspark.evaluation import evaluate
+
+    monkeypatch.setattr(G, "STEPS", 3, raising=False)
+    rows = [(q, f"red {q}", "s", ["x"], [0, 1], [float(q % 3), 1.0]) for q in range(8)]
+    queries = spark.createDataFrame(rows, "row_idx long, problem string, solution string, domains array<string>, candidates array<bigint>, relevance_scores array<double>").coalesce(1)
+    docs = spark.createDataFrame([(0, "red fox", "a"), (1, "blue 3 sky", "b")], "row_idx long, problem string, solution string")
+    steps = []
+    got = G.evaluate_in_steps(G.written_items(queries, str(tmp_path), 1), docs, "bm25", str(tmp_path), on_progress=lambda step, _: steps.append(step), tasks=["full-full"])
+    want = evaluate(queries, docs, "bm25", ["full-full"])
+    assert {(r.branch, round(r["mean"], 9), r.n) for r in got.collect()} == {(r.branch, round(r["mean"], 9), r.n) for r in want.collect()}
+    assert steps == [0, 1, 2]
