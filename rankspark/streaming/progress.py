@@ -32,10 +32,10 @@ def files_a_step(spark: SparkSession, items: str, files: int) -> int:
 
 
 def run_with_progress(spark: SparkSession, items: str, aggregate: Callable[[DataFrame], DataFrame], folder: str, files: int = 1, on_progress: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Aggregates written_items() step by step into folder/partials/step=n, and tells on_progress each step that is written. aggregate
-    may score its rows before it groups them. A run with the same folder goes on where the last one stopped."""
+    """Aggregates written_items() step by step, so many files each or more by files_a_step(), into folder/partials/step=n, and tells
+    on_progress each step that is written. aggregate may score its rows before it groups them. A run with the same folder goes on where the last one stopped."""
     kinds = spark.read.parquet(items).schema
-    found = aggregate(spark.readStream.schema(kinds).option("maxFilesPerTrigger", files).parquet(items))
+    found = aggregate(spark.readStream.schema(kinds).option("maxFilesPerTrigger", files_a_step(spark, items, files)).parquet(items))
 
     def write(partial: DataFrame, step: int) -> None:
         partial.write.mode("overwrite").parquet(f"{folder}/partials/step={step}")

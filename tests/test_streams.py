@@ -204,3 +204,10 @@ def test_more_items_take_larger_steps_of_evaluation(spark, tmp_path, monkeypatch
     want = evaluate(queries, docs, "bm25", ["full-full"])
     assert {(r.branch, round(r["mean"], 9), r.n) for r in got.collect()} == {(r.branch, round(r["mean"], 9), r.n) for r in want.collect()}
     assert steps == [0, 1, 2]
+
+
+def test_more_items_take_larger_steps_of_progress(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(G, "STEPS", 3, raising=False)
+    path = G.written_items(spark.range(80).repartition(1), str(tmp_path), 10)
+    G.run_with_progress(spark, path, lambda rows: rows.agg(F.count("*").alias("n")), str(tmp_path)).awaitTermination()
+    assert [r["n"] for r in G.partials(spark, str(tmp_path)).orderBy("step").collect()] == [30, 60, 80]
