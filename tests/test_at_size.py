@@ -15,6 +15,7 @@ from rankspark.operators import structure as S
 from rankspark.operators import taxonomy as X
 from rankspark.operators import tournament as T
 from rankspark.plans import registry
+from rankspark.streaming import upserts as U
 
 
 def test_grid_means_between_two_thousandths(spark):
@@ -132,3 +133,38 @@ def test_listwise_answers_are_met_by_one_join(spark):
 def test_sparse_dot_counts_no_token_that_no_query_has(spark):
     plan = _plan(registry.QUERIES["sparse_dot_rerank"](spark, "/root/testdata/sf0.001"))
     assert "LeftSemi" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_upserts_hold_many_keys_in_one_state(spark, tmp_path):
+    # three versions of 3,000 keys in three files; state of a key alone is a call and a row of the store for each
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    kinds = "k long, j string, version long, at timestamp"
+    for v in (1, 3, 2):
+        spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("j"), F.lit(v).cast("long").alias("version"), F.expr(f"timestamp'2024-01-01' + make_interval(0, 0, 0, {v})").alias("at")).coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source)
+    query = U.upsert(rows, ["k", "j"], "version", "at", str(tmp_path / "out"), state)
+    query.awaitTermination()
+    let = Counter(r.version for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert let[1] == let[3] == 3000 and let[2] in (0, 3000)
+    assert U.current(spark, str(tmp_path / "out"), ["k", "j"], "version").where("version = 3").count() == 3000
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= U.GROUPS
+
+
+def test_a_key_in_a_group_expires_alone(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def give(day, *rows):
+        data = [(k, v, f"2024-01-{day:02} 00:00:00") for k, v in rows]
+        spark.createDataFrame(data, "k long, version long, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        U.upsert(spark.readStream.schema("k long, version long, at timestamp").parquet(source), ["k"], "version", "at", out, state, "2 days").awaitTermination()
+
+    U.GROUPS, before = 1, U.GROUPS
+    try:
+        give(1, (1, 5), (2, 5))
+        give(2, (1, 4), (2, 6))
+        give(10, (3, 1))  # keys 1 and 2 are 8 days behind
+        give(11, (1, 4), (3, 1))
+    finally:
+        U.GROUPS = before
+    found = sorted((r.k, r.version) for r in spark.read.parquet(out).collect())
+    assert found == [(1, 4), (1, 5), (2, 5), (2, 6), (3, 1)]
