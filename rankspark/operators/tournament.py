@@ -24,8 +24,14 @@ def canonical(matches: DataFrame, order: Column) -> DataFrame:
     return rows.groupBy("target", "a", "b").agg(F.max_by("winner", "_at").alias("winner"))
 
 
-def points(matches: DataFrame, players: DataFrame) -> DataFrame:
-    """(target, player, points): one for each match won; players without one have 0."""
+def points(matches: DataFrame, players: DataFrame | None = None) -> DataFrame:
+    """(target, player, points): one for each match won; players without one have 0. Without players, those of the matches are
+    taken, which are read once and not joined."""
+    if players is None:
+        sides = [F.struct(F.col(c).alias("player"), F.lit(0).alias("won"), F.lit(True).alias("plays")) for c in ("a", "b")]
+        rows = matches.select("target", F.inline(F.array(*sides, F.struct(F.col("winner").alias("player"), F.when(F.col("winner").isNotNull(), 1).otherwise(0).alias("won"), F.lit(False).alias("plays")))))
+        sums = rows.groupBy("target", "player").agg(F.sum("won").alias("points"), F.max("plays").alias("plays"))
+        return sums.where("plays").select("target", "player", "points")
     won = matches.groupBy("target", F.col("winner").alias("player")).agg(F.count("*").alias("points"))
     return players.join(won, ["target", "player"], "left").select("target", "player", F.coalesce("points", F.lit(0)).alias("points"))
 

@@ -14,7 +14,7 @@ from rankspark.operators import statistics as A
 from rankspark.operators import structure as S
 from rankspark.operators import taxonomy as X
 from rankspark.operators import tournament as T
-from rankspark.plans import registry
+from rankspark.plans import construction, registry
 from rankspark.streaming import upserts as U
 
 
@@ -168,3 +168,19 @@ def test_a_key_in_a_group_expires_alone(spark, tmp_path):
         U.GROUPS = before
     found = sorted((r.k, r.version) for r in spark.read.parquet(out).collect())
     assert found == [(1, 4), (1, 5), (2, 5), (2, 6), (3, 1)]
+
+
+def test_points_meet_matches_without_a_join(spark):
+    rows = [(1, "a", "b", "a"), (1, "a", "c", "tie"), (1, "b", "c", "c"), (2, "a", "b", None), (2, "b", "c", "a"), (3, "x", "y", "z"), (3, None, "y", "y")]
+    games = spark.createDataFrame(rows, "target long, a string, b string, winner string")
+    players = games.select("target", F.col("a").alias("player")).union(games.select("target", "b")).distinct()
+    found = T.points(games)
+    assert "Join" not in _plan(found) and found.schema["points"].dataType.simpleString() == "bigint"
+    assert Counter(tuple(r) for r in found.collect()) == Counter(tuple(r) for r in T.points(games, players).collect())
+
+
+def test_matches_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(construction, "TASK_ROWS", 500, raising=False)
+    for name in ("tournament_points",):
+        plan = _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "hashpartitioning(l_partkey" in plan and "REPARTITION_BY_NUM" in plan
