@@ -181,6 +181,6 @@ def test_points_meet_matches_without_a_join(spark):
 
 def test_matches_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(construction, "TASK_ROWS", 500, raising=False)
-    for name in ("tournament_points",):
+    for name in ("tournament_points", "unplayed_pairs"):
         plan = _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "hashpartitioning(l_partkey" in plan and "REPARTITION_BY_NUM" in plan
