@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries in one broadcast matrix; more are taken in further passes.
 QUERY_BLOCK = 4096
+#: Scores of queries and rows that a task holds at once (16 MB a matrix).
+SCORE_CELLS = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,14 +70,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
         if (lengths == 0).any():
             raise ValueError("cosine of a zero vector")
         held = spark.sparkContext.broadcast((ids, matrix / lengths[:, None], labels))
+        few = max(k, SCORE_CELLS // len(ids))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, few=few) -> Iterator[pa.RecordBatch]:
             names, unit, own = held.value
-            # query numbers, row ids (whole 64-bit numbers), scores, extras: the best so far, cut to k a query after each batch
+            # query numbers, row ids (whole 64-bit numbers), scores, extras: the best so far, cut to k a query after each slice
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few)):
                 found = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
                 vectors = np.array(batch.column(1).to_pylist(), np.float64)
                 sizes = np.linalg.norm(vectors, axis=1)

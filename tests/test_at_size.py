@@ -14,6 +14,7 @@ from rankspark.operators import statistics as A
 from rankspark.operators import structure as S
 from rankspark.operators import taxonomy as X
 from rankspark.operators import tournament as T
+from rankspark.operators import vector as V
 from rankspark.plans import construction, registry
 from rankspark.streaming import upserts as U
 
@@ -184,3 +185,24 @@ def test_matches_are_dealt_by_rows(spark, monkeypatch):
     for name in ("tournament_points", "unplayed_pairs"):
         plan = _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "hashpartitioning(l_partkey" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_search_holds_a_bounded_matrix_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)], int(rng.integers(9))) for i in range(900)]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label long").coalesce(1)
+
+    def near(own, other):
+        if own.size * other.size > 30 * 64:
+            raise ValueError("a larger matrix")
+        return -np.abs(own - other).astype(float)
+
+    monkeypatch.setattr(V, "SCORE_CELLS", 30 * 64, raising=False)
+    found = V.search(rows.where("vec_id % 30 = 0"), rows, 5, extra="label", extra_score=near).collect()
+    unit = np.array([v for _, v, _ in vectors])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for q in range(0, 900, 30):
+        score = unit @ unit[q]
+        score[q] = -2
+        own = sorted(((r.score, r.id) for r in found if r["query"] == q), reverse=True)[:5]
+        assert [i for _, i in own] == np.argsort(-score)[:5].tolist()
