@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import oracle
 from pyspark.sql import functions as F
@@ -187,6 +188,19 @@ def test_matches_are_dealt_by_rows(spark, monkeypatch):
         assert "hashpartitioning(l_partkey" in plan and "REPARTITION_BY_NUM" in plan
 
 
+def test_texts_are_scanned_in_slices(spark):
+    # a text alone, empty and null ones, and more than a slice holds; what a task holds is bounded by the slice
+    texts = ["$a$ b " * 60_000, None, "", *(["x $y$ \\(z\\) é"] * 2500), "no math"]
+    parts = list(scan._slices(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and max(len(p) for p in parts) <= 1000 and len(parts[0]) == 1
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    found = rows.select("id", scan.tex_pieces_of(F.col("t"), True).alias("p"), scan.structure_terms_of(F.col("t")).alias("s"), scan.structure_counts_of(F.col("t")).alias("c")).where("id > 0").collect()
+    for r in found:
+        assert [tuple(p) for p in r.p] == scan.tex_pieces(texts[r.id], True) and r.s == scan.structure_terms(texts[r.id])
+        assert [tuple(p) for p in r.c] == scan._counted(texts[r.id])
+    assert len(found) == len(texts) - 1
+
+
 def test_search_holds_a_bounded_matrix_of_scores(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(size=4)], int(rng.integers(9))) for i in range(900)]
