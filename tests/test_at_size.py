@@ -220,3 +220,16 @@ def test_search_holds_a_bounded_matrix_of_scores(spark, monkeypatch):
         score[q] = -2
         own = sorted(((r.score, r.id) for r in found if r["query"] == q), reverse=True)[:5]
         assert [i for _, i in own] == np.argsort(-score)[:5].tolist()
+
+
+def test_lists_longer_than_a_slice_score_by_structure(spark):
+    texts = ["$x^{2}+1$ word " * 30_000, "$y^{2}+1$ word", "no math", "$a=b$"]
+    assert len(list(scan._slices(pa.array(texts)))) == 2
+    pairs = spark.createDataFrame([(0, i, i, texts[1], t) for i, t in enumerate(texts)], "query long, pos int, doc long, query_text string, doc_text string").coalesce(1)
+    got = {r.pos: r.score for r in scorers.make_scorer("math-structure")(pairs).collect()}
+    weigh = lambda t: S.WEIGHTS[t[0]]
+    asked = Counter(scan.structure_terms(texts[1]))
+    for i, t in enumerate(texts):
+        own = Counter(scan.structure_terms(t))
+        size = sum(n * weigh(x) for c in (asked, own) for x, n in c.items())
+        assert abs(got[i] - 2 * sum(n * weigh(x) for x, n in (asked & own).items()) / size) < 1e-9
