@@ -37,8 +37,12 @@ def points(matches: DataFrame, players: DataFrame | None = None) -> DataFrame:
 
 
 def unplayed(pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """The pairs (target, a, b) that have no judgement yet."""
-    return pairs.join(matches, ["target", "a", "b"], "left_anti")
+    """The pairs (target, a, b) that have no judgement yet, repeats and all. Pairs and matches are counted together instead of
+    joined, since a join would deal sides that are dealt by target once more by pair."""
+    key = ["target", "a", "b"]
+    known = matches.select(*key, F.lit(0).alias("asked")).dropna(subset=key)
+    sums = pairs.select(*key, F.lit(1).alias("asked")).unionByName(known).groupBy(*key).agg(F.sum("asked").cast("int").alias("times"), F.min("asked").alias("asked"))
+    return sums.where("asked = 1").select(*key, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_")).drop("_")
 
 
 def _paired(names: list, left: list, right: list) -> list[tuple]:

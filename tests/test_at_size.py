@@ -188,6 +188,23 @@ def test_matches_are_dealt_by_rows(spark, monkeypatch):
         assert "hashpartitioning(l_partkey" in plan and "REPARTITION_BY_NUM" in plan
 
 
+def test_unplayed_pairs_stay_where_matches_are_made(spark, monkeypatch):
+    # a join deals both sides by pair once more, to as many tasks as the session has at any size
+    monkeypatch.setattr(construction, "TASK_ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(registry.QUERIES["unplayed_pairs"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(l_partkey") == 2
+    kinds = "target long, a string, b string"
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "a", "c"), (2, "a", "b"), (2, "a", None), (None, "a", "b"), (3, "x", "y"), (3, "x", "y")], kinds)
+    known = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (2, "a", None), (None, "a", "b"), (3, "x", "y"), (4, "x", "y")], kinds)
+    found = Counter(tuple(r) for r in T.unplayed(pairs, known).collect())
+    assert found == Counter(tuple(r) for r in pairs.join(known, ["target", "a", "b"], "left_anti").collect()) and found[1, "a", "c"] == 2
+
+
 def test_texts_are_scanned_in_slices(spark):
     # a text alone, empty and null ones, and more than a slice holds; what a task holds is bounded by the slice
     texts = ["$a$ b " * 60_000, None, "", *(["x $y$ \\(z\\) é"] * 2500), "no math"]
