@@ -85,6 +85,23 @@ def test_bootstrap_shuffles_no_draw(spark, monkeypatch):
         assert np.allclose(got[g], (held.mean(), *np.quantile(means, (0.025, 0.975))))
 
 
+def test_bootstrap_hashes_draws_in_arrays(spark, monkeypatch):
+    # not a row a draw; groups of unlike names and lengths, unknown values, parts of a resample
+    monkeypatch.setattr(A, "BLOCK_BITS", 3)
+    monkeypatch.setattr(A, "LANES", 70, raising=False)
+    long = "é" * 60
+    held = {"all": [float(i * i % 17) for i in range(120)], long: [None if i % 3 else float(i) for i in range(9)], "none": [None] * 4}
+    values = spark.createDataFrame([(g, i, v) for g, vs in held.items() for i, v in enumerate(vs)], "g string, idx long, v double")
+    found = A.bootstrap(values, "g", "v", {"all": None, long: 105, "none": 2, "absent": 3}, 120, "s")
+    assert "MapInArrow" in _plan(found) and "md5" not in _plan(found)
+    got = {r.g: (r.mean, r.lo, r.hi) for r in found.collect()}
+    assert got.pop("none") == (None, None, None) and got.keys() == {"all", long}
+    for g, k in (("all", 120), (long, 105)):
+        vs = np.array(held[g], float)
+        means = [np.nanmean(vs[[int(hashlib.md5(f"s|{g}|{rep}|{draw}".encode()).hexdigest()[:8], 16) % len(vs) for draw in range(k)]]) for rep in range(120)]
+        assert np.allclose(got[g], (np.nanmean(vs), *np.quantile(means, (0.025, 0.975))))
+
+
 def test_copies_of_sets_meet_once(spark, tmp_path):
     tags = [["x", "y"], ["y", "x", "x"], [], None, ["y"], ["z", None], ["x"], ["x", "y"]] * 5
     sets = spark.createDataFrame(list(enumerate(tags)), "id long, tags array<string>")
