@@ -9,7 +9,7 @@ from ..functions.portable import portable_hash, sql_hash
 from ..operators.ranking import average_rank
 from ..operators.rounds import tried
 from ..sources import runs as S
-from ..sources.tables import load, shared_folder, stream, union_splits, with_row_idx
+from ..sources.tables import load, load_placed, shared_folder, stream, union_splits, with_row_idx
 from ..streaming.resume import latest, score_new
 from ..streaming.resume import windowed_counts as hourly
 from .common import query, rounded
@@ -92,9 +92,9 @@ def best_prompt(spark: SparkSession, sf: str) -> DataFrame:
 select model, coalesce(max(case when prompt = 'click' then format('{:.3f}', round(s, 3)) end), '-') as click, coalesce(max(case when prompt = 'view' then format('{:.3f}', round(s, 3)) end), '-') as view, coalesce(max(case when prompt = 'nothing' then format('{:.3f}', round(s, 3)) end), '-') as nothing from c group by 1""")
 def pivot_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Models by prompts, '-' for missing cells."""
-    rows = load(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
-    # sums in the order of ids: means that lie between two thousandths must not turn on how rows are dealt
-    held = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value"))))
+    rows = load_placed(spark, sf, "events", ["user_id", "event_type", "value"])
+    # sums in the table's order, as the SQL has them in one thread: means that lie between two thousandths must not turn on how rows are dealt
+    held = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("file", "row", "value"))))
     cells = rows.groupBy(F.col("user_id").alias("model"), F.col("event_type").alias("prompt")).agg(held.alias("z"))
     mean = F.when(F.size("z") > 0, F.aggregate("z", F.lit(0.0), lambda a, x: a + x["value"]) / F.size("z"))
     cells = cells.select("model", "prompt", (F.round(mean * 1000) / 1000).alias("s"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 import oracle
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def test_grid_means_between_two_thousandths(spark):
     assert oracle.differences(spark, con, folder, "pivot_grid", registry.QUERIES["pivot_grid"], registry.ORACLES["pivot_grid"]) == ""
 
 
+def test_grid_sums_in_the_order_of_the_table(spark, tmp_path):
+    # rows that are not stored by id, ids that come twice, several files; one thread of the twin reads them in this order
+    rows = pq.read_table("/root/testdata/sf0.1/events.parquet", columns=["event_id", "user_id", "event_type", "value"])
+    rows = rows.take(np.random.default_rng(6).permutation(len(rows)))
+    rows = rows.set_column(0, "event_id", pa.array(np.arange(len(rows)) // 2 * 7 % 50_000))
+    (tmp_path / "events.parquet").mkdir()
+    for i, n in enumerate((5_000, 70_000, 25_000)):  # Spark reads larger files first
+        pq.write_table(rows.slice((0, 5_000, 75_000)[i], n), tmp_path / f"events.parquet/part-{i}.parquet", row_group_size=9_000)
+    con = oracle.duck("")
+    con.execute("set threads = 1")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert oracle.differences(spark, con, str(tmp_path), "pivot_grid", registry.QUERIES["pivot_grid"], registry.ORACLES["pivot_grid"]) == ""
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
